@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from helixtab.llm.shared import WordHashes, text_bytes, words, written
 
-HEAD, TAIL = 2.0**-21, 4096
-CLASSES, SWEEPS = 64, 4
+HEAD, TAIL = 2.0**-20, 1024
+CLASSES, SWEEPS = 64, 3
 END = xxhash.xxh64_intdigest(b"\n")  # no word holds a line end
 #: Tokens or distinct words that a task sums before it passes them on.
 _TOKENS, WORDS_HELD = 2_000_000, 500_000
@@ -41,25 +41,34 @@ def tail_unit(word: bytes) -> int:
 
 
 class Units(dict):
-    """word -> (its hash, its unit). Units: 0 is the end, then the TAIL tail units, then the head words."""
+    """word -> its unit. Units: 0 is the end, then the TAIL tail units, then the head words."""
 
     def __init__(self, head: np.ndarray):
         super().__init__()
-        self.head, self.hashes = head, WordHashes()
+        self.head = dict(zip(head.tolist(), range(1 + TAIL, 1 + TAIL + len(head))))
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 400_000:
             self.clear()
-        h = self.hashes[word]
-        at = int(np.searchsorted(self.head, np.uint64(h)))
-        known = at < len(self.head) and int(self.head[at]) == h
-        self[word] = unit = 1 + TAIL + at if known else tail_unit(word)
+        self[word] = unit = self.head.get(xxhash.xxh64_intdigest(word)) or tail_unit(word)
         return unit
 
     def of(self, found: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
 
 
+_units: dict[int, Units] = {}
+
+
+def _units_of(head: np.ndarray) -> Units:
+    """One for each worker, so that what it has looked up serves all its tasks with the same head."""
+    key = xxhash.xxh64_intdigest(head.tobytes())
+    if key not in _units:
+        _units.clear()
+        _units[key] = Units(head)
+    return _units[key]
+
+
 @dataclass
 class Model:
     head: np.ndarray  # sorted hashes of the head words
@@ -129,7 +138,7 @@ def unit_bigrams(docs: DataFrame, head: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(sent.value)
+        units = _units_of(sent.value)
 
         def pairs():
             for b in batches:
@@ -239,7 +248,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        units, hashes = Units(m.head), WordHashes()
+        units, hashes = _units_of(m.head), WordHashes()
         slots = np.log10(m.n + m.v + 1)
         room = np.log10(m.class_tokens + m.class_words + 1)
         unit_log = np.log10(np.concatenate(([m.class_tokens[0]], np.zeros(TAIL), m.head_count)) + 1.0)
