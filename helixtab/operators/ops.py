@@ -11,7 +11,10 @@ from helixtab.operators.costs import ts_costs
 
 OP = ["op_idx", "n", "kind", "first_offset", "p", "s", "dir", "gap"]
 ENTRANCE, EXIT = "TemplateSwitchEntrance", "TemplateSwitchExit"
-_BY = Window.partitionBy("pair_id").orderBy("op_idx")
+
+
+def _along():
+    return Window.partitionBy("pair_id").orderBy("op_idx")
 
 
 def explode_ops(results: DataFrame) -> DataFrame:
@@ -56,8 +59,8 @@ def flatten_ops(ops: DataFrame) -> DataFrame:
 
 def compact_ops(flat: DataFrame) -> DataFrame:
     """Neighbouring equal operations as one, op_idx counted anew."""
-    same = [F.col(c).eqNullSafe(F.lag(c).over(_BY)) for c in OP[2:]]
-    starts = flat.withColumn("_new", F.when(same[0] & same[1] & same[2] & same[3] & same[4] & same[5] & F.lag("op_idx").over(_BY).isNotNull(), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(_BY))
+    same = [F.col(c).eqNullSafe(F.lag(c).over(_along())) for c in OP[2:]]
+    starts = flat.withColumn("_new", F.when(same[0] & same[1] & same[2] & same[3] & same[4] & same[5] & F.lag("op_idx").over(_along()).isNotNull(), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(_along()))
     out = starts.groupBy("pair_id", "_island").agg(F.sum("n").cast("int").alias("n"), *[F.first(c).alias(c) for c in OP[2:]])
     return out.select("pair_id", (F.col("_island") - 1).cast("int").alias("op_idx"), *OP[1:])
 
@@ -65,11 +68,11 @@ def compact_ops(flat: DataFrame) -> DataFrame:
 def _in_ts(ops: DataFrame) -> DataFrame:
     """With the running number of the template switch (0 before the first), and its entrance's p, s, dir and
     first_offset on the operations inside it, its exit included."""
-    entered = F.count_if(F.col("kind") == ENTRANCE).over(_BY.rowsBetween(Window.unboundedPreceding, 0))
-    left = F.count_if(F.col("kind") == EXIT).over(_BY.rowsBetween(Window.unboundedPreceding, -1))
+    entered = F.count_if(F.col("kind") == ENTRANCE).over(_along().rowsBetween(Window.unboundedPreceding, 0))
+    left = F.count_if(F.col("kind") == EXIT).over(_along().rowsBetween(Window.unboundedPreceding, -1))
     out = ops.withColumn("ts_idx", entered).withColumn("_in", F.col("ts_idx") > F.coalesce(left, F.lit(0)))
     for c in ("p", "s", "dir", "first_offset"):
-        out = out.withColumn(f"ts_{c}", F.when(F.col("_in"), F.last(c, ignorenulls=True).over(_BY.rowsBetween(Window.unboundedPreceding, 0))))
+        out = out.withColumn(f"ts_{c}", F.when(F.col("_in"), F.last(c, ignorenulls=True).over(_along().rowsBetween(Window.unboundedPreceding, 0))))
     return out.drop("_in")
 
 
@@ -84,7 +87,7 @@ def track_coords(ops: DataFrame, starts: DataFrame | None = None) -> DataFrame:
         rows = rows.join(starts.select("pair_id", "r_start", "q_start"), "pair_id")
     else:
         rows = rows.withColumn("r_start", F.lit(0)).withColumn("q_start", F.lit(0))
-    upto = _BY.rowsBetween(Window.unboundedPreceding, 0)
+    upto = _along().rowsBetween(Window.unboundedPreceding, 0)
     for s in "rq":
         after = F.sum(f"_{s}").over(upto) + F.col(f"{s}_start")
         rows = rows.withColumn(f"{s}_after", after).withColumn(f"{s}_before", F.col(f"{s}_after") - F.col(f"_{s}"))
@@ -96,7 +99,7 @@ def track_secondary(flat: DataFrame) -> DataFrame:
     first_offset, one to the right (forward) or left (reverse) with each match, substitution and deletion."""
     rows = track_coords(flat)
     start = F.when(F.col("kind") == ENTRANCE, F.when(F.col("s") == "R", F.col("r_before")).otherwise(F.col("q_before")) + F.col("first_offset"))
-    at = F.last(start, ignorenulls=True).over(_BY.rowsBetween(Window.unboundedPreceding, 0))
+    at = F.last(start, ignorenulls=True).over(_along().rowsBetween(Window.unboundedPreceding, 0))
     moves = F.when(F.col("kind").startswith("Secondary") & ~F.col("kind").endswith("Insertion"), F.when(F.col("ts_dir") == "R", -1).otherwise(1)).otherwise(0)
     inside = F.col("ts_p").isNotNull()
     run = Window.partitionBy("pair_id", "ts_idx").orderBy("op_idx").rowsBetween(Window.unboundedPreceding, 0)
@@ -164,7 +167,7 @@ def alignment_cost(ops: DataFrame, pairs: DataFrame, costs: dict[str, DataFrame]
     k = F.col("kind")
     table = F.when(k.startswith("Primary"), "primary").otherwise("secondary")
     gap = k.endswith("Insertion") | k.endswith("Deletion")
-    rows = units.withColumns({"_t": table, "_open": ~F.coalesce(F.lag("kind").over(_BY) == k, F.lit(False)), "_c": F.when(k.endswith("Insertion"), F.col("c2")).when(k.endswith("Deletion"), F.col("c1"))}).where(~k.isin(ENTRANCE, EXIT))
+    rows = units.withColumns({"_t": table, "_open": ~F.coalesce(F.lag("kind").over(_along()) == k, F.lit(False)), "_c": F.when(k.endswith("Insertion"), F.col("c2")).when(k.endswith("Deletion"), F.col("c1"))}).where(~k.isin(ENTRANCE, EXIT))
     rows = rows.join(F.broadcast(costs["subst"].select(F.col("tbl").alias("_t"), "c1", "c2", F.col("cost").alias("_s"))), ["_t", "c1", "c2"], "left")
     rows = rows.join(F.broadcast(costs["gaps"].select(F.col("tbl").alias("_t"), F.col("c").alias("_c"), "open", "extend")), ["_t", "_c"], "left")
     each = rows.select("pair_id", F.when(gap, F.when(F.col("_open"), F.col("open")).otherwise(F.col("extend"))).otherwise(F.col("_s")).alias("cost"))
@@ -208,7 +211,7 @@ def extend_range(pairs: DataFrame, subst: DataFrame, r_from: str, q_from: str, r
 def gapped_columns(ops: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair_id, col, r_base, q_base ('-' for a gap), mismatch: the columns outside template switches."""
     rows = unit_bases(flatten_ops(ops), pairs).where("kind like 'Primary%'")
-    col = F.row_number().over(_BY) - 1
+    col = F.row_number().over(_along()) - 1
     k = F.col("kind")
     return rows.select("pair_id", col.alias("col"), F.when(k.endswith("Insertion"), "-").otherwise(F.col("c1")).alias("r_base"), F.when(k.endswith("Deletion"), "-").otherwise(F.col("c2")).alias("q_base"), k.endswith("Substitution").alias("mismatch"), "r_before", "q_before")
 
