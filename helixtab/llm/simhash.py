@@ -84,7 +84,11 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
         return F.filter(flips, lambda k: k.isNotNull())
 
     table = base.select("fp", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), k.alias("key")) for s, k, _ in segments])).alias("x")).select("fp", "x.seg", "x.key")
-    probe = base.select("fp", F.explode(F.concat(*[F.transform(ball(k, r), lambda x, s=s: F.struct(F.lit(s).alias("seg"), x.alias("key"))) for s, k, r in segments])).alias("x")).select("fp", "x.seg", "x.key")
+
+    def tagged(seg, keys):
+        return F.transform(keys, lambda k: F.struct(F.lit(seg).alias("seg"), k.alias("key")))
+
+    probe = base.select("fp", F.explode(F.concat(*[tagged(s, ball(k, r)) for s, k, r in segments])).alias("x")).select("fp", "x.seg", "x.key")
     size = table.groupBy("seg", "key").agg(F.count("*").alias("n"))
     met = written(probe.join(size, ["seg", "key"]).where("n > 1 or key != if(seg = 0, shiftrightunsigned(fp, 32), fp & 4294967295L)"), "simhash-met")
     hot = met.where(F.col("n") > BUCKET) if distance <= 2 else met.limit(0)
