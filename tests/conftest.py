@@ -7,6 +7,6 @@ from pyspark.sql import SparkSession
 @pytest.fixture(scope="session")
 def spark():
     temp = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.local.dir", temp).config("spark.checkpoint.dir", f"file://{temp}/shared").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    session = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "2").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.local.dir", temp).config("spark.checkpoint.dir", f"file://{temp}/shared").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
