@@ -19,9 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def uniform(seed: int, salt: str, *columns: str) -> Column:
-    """A number in [0, 1) from the first 52 bits of the MD5 of the columns."""
-    text = F.concat_ws("|", F.lit(f"{seed}:{salt}"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+#: Rates over this are drawn as a sum of several, as the probability of no copy would be too small for a double.
+CHUNK = 500
+
+
+def uniform(seed: int, salt: str, *columns: str, more: Column | None = None) -> Column:
+    """A number in [0, 1) from the first 52 bits of the MD5 of the columns (and of more, if it is given)."""
+    text = F.concat_ws("|", F.concat(F.lit(f"{seed}:{salt}"), F.lit("") if more is None else more), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
@@ -52,9 +56,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
         raise ValueError("docs has a column named copy or mix_key")
     rate = rates(docs, weights, budget)
     top = rate.agg(F.max("rate")).first()[0] or 0.0
-    most = math.ceil(top + 12 * math.sqrt(top) + 24)
+    largest = min(top, CHUNK)
+    most = math.ceil(largest + 12 * math.sqrt(largest) + 24)
     # the join is on source, null-safe; the rates have a row for each source
-    drawn = docs.join(rate.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_n", poisson(F.coalesce("rate", F.lit(0.0)), uniform(seed, "copies", "doc_id"), most))
+    drawn = docs.join(rate.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
+    rate_, parts = F.coalesce("rate", F.lit(0.0)), F.greatest(F.ceil(F.coalesce("rate", F.lit(0.0)) / CHUNK).cast("int"), F.lit(1))
+    if top > CHUNK:
+        part = lambda i: poisson(rate_ / parts, uniform(seed, "copies", "doc_id", more=F.when(i > 1, F.concat(F.lit(":"), i.cast("string"))).otherwise("")), most)
+        drawn = drawn.withColumn("_n", F.aggregate(F.transform(F.sequence(F.lit(1), parts), part), F.lit(0), lambda a, x: a + x))
+    else:
+        drawn = drawn.withColumn("_n", poisson(rate_, uniform(seed, "copies", "doc_id"), most))
     copies = drawn.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("mix_key", uniform(seed, "order", "doc_id", "copy"))
     out = copies.select(*docs.columns, "copy", "mix_key")
     return out.orderBy("mix_key", "doc_id", "copy") if shuffle else out
