@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixtab.llm.shared import written
+
 #: Queries that go to the tasks at once, and rows of one posting block.
 QUERY_BLOCK, ROW_BLOCK = 4096, 8192
 _OUT = "query_id long, vec_id long, score long"
@@ -73,7 +75,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = dims["d"]
     rows = whole.where(F.size("v") == dim).select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
-    asked = rows.where(is_query_on(is_query, id_col)).groupBy("id").agg(F.min("v").alias("v"))
+    asked = written(rows.where(is_query_on(is_query, id_col)).groupBy("id").agg(F.min("v").alias("v")), "queries")
     edges = [r["id"] for r in _block_starts(asked)]
     parts = [_block(rows, asked.where((F.col("id") >= lo) & ((F.col("id") < hi) if hi is not None else F.lit(True))), k) for lo, hi in zip(edges, [*edges[1:], None])]
     if not parts:
