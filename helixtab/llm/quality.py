@@ -3,8 +3,9 @@
 The model is an interpolated modified Kneser-Ney model of order 5 over the characters of words: a word is the
 sequence of its characters and an end, after a start. Spark counts the n-grams of all texts of a language, for each
 language apart; continuation counts, discounts, probabilities and backoffs are aggregations and joins on n-gram
-tables. The finished model is stored in arrays sorted by hash, which tasks search. N-grams that make up less than
-KEEP of a language's are left to the backoff, which bounds the arrays by 1 / KEEP entries for each order.
+tables. No n-gram is cut. The model is that of the texts it scores, so it has every gram it is asked for. Those that
+make up at least KEEP of all symbols (1 / KEEP at most, a proven bound) are in an array sorted by hash, which tasks
+search; the probabilities of all others are joined to the texts that have them.
 
 A text's perplexity is that of all its words. Its language's band is the median of the logarithm, plus and minus
 WIDTH times the median absolute deviation (at least MIN_DEVIATION) over all texts that the counting rules
@@ -137,10 +138,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("")).alias("lang"), text_bytes().alias("data"), F.col("doc_id").cast("long").alias("doc_id"))
 
 
-def model(counts: DataFrame) -> DataFrame:
-    """lang, gram, p (log10 of its last symbol's probability after the others), bow (log10 of its backoff weight).
+def _levels(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """lang, k, gram, n, p (its last symbol's probability after the others), and lang, gram, bow (a history's backoff
+    weight), of all grams.
 
-    Of each order: a gram's count is its own at the full order and at the start of words, else the number of
+    Of each order: a gram's count n is its own at the full order and at the start of words, else the number of
     symbols seen before it. Discounts by modified Kneser-Ney; the lowest order is interpolated with the same
     probability for every symbol seen and one unseen.
     """
@@ -170,31 +172,80 @@ def model(counts: DataFrame) -> DataFrame:
         done.append(written(level.join(lower, ["lang", "tail"], "left").withColumn("p", F.col("alpha") + F.col("gamma") * F.coalesce("lower", F.lit(1e-9))).drop("tail", "lower"), "kn-level"))
     probs = reduce(DataFrame.unionByName, [x.select("lang", "k", "gram", "n", "p") for x in done])
     bows = parts.groupBy("lang", F.col("h").alias("gram")).agg(F.first("gamma").alias("bow"))
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = probs.join(F.broadcast(total), "lang").where((F.col("k") == 1) | (F.col("n") >= F.col("total") * KEEP)).select("lang", "gram", "p")
-    start = bows.where(F.col("gram").isin("", START)).join(kept, ["lang", "gram"], "left_anti").select("lang", "gram", F.lit(None).cast("double").alias("p"))
-    return kept.unionByName(start).join(bows, ["lang", "gram"], "left").select("lang", "gram", F.log10("p").cast("float").alias("p"), F.log10("bow").cast("float").alias("bow"))
+    return probs, bows
+
+
+def model(counts: DataFrame) -> DataFrame:
+    """lang, gram, p (log10 of its last symbol's probability after the others), bow (log10 of its backoff weight)."""
+    probs, bows = _levels(counts)
+    grams = probs.select("lang", "gram", "p")
+    start = bows.where(F.col("gram").isin("", START)).join(grams, ["lang", "gram"], "left_anti").select("lang", "gram", F.lit(None).cast("double").alias("p"))
+    return grams.unionByName(start).join(bows, ["lang", "gram"], "left").select("lang", "gram", F.log10("p").cast("float").alias("p"), F.log10("bow").cast("float").alias("bow"))
+
+
+def _text_grams(counts: DataFrame) -> DataFrame:
+    """lang, gram, n (its own count), p (log10) of each gram that texts have: of the full order or from the start on."""
+    probs = _levels(counts)[0].where((F.col("k") == ORDER) | F.col("gram").startswith(START))
+    return probs.groupBy("lang", "gram").agg(F.max("n").alias("n"), F.log10(F.max("p")).cast("float").alias("p"))
+
+
+def _row_hashes(langs: pa.Array, grams: pa.Array) -> np.ndarray:
+    """The hash of each row's language and gram."""
+    langs = langs.dictionary_encode()
+    seeds = np.array([_seed(x) for x in langs.dictionary.to_pylist()], np.uint64)
+    _, codes, lengths = _codes(grams.to_pylist())
+    return _hashed(seeds[langs.indices.to_numpy()], codes, np.cumsum(lengths) - 1, lengths)
+
+
+def _positions(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Of the hashes in the sorted keys, -1 where there is none."""
+    if not len(keys):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, at, -1)
+
+
+class Head:
+    """The frequent grams: their sorted hashes and p."""
+
+    def __init__(self, grams: DataFrame):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(_row_hashes(b.column(0), b.column(1)).view(np.int64)), b.column(2)], ["key", "p"])
+
+        rows = grams.select("lang", "gram", "p").mapInArrow(run, "key long, p float").toArrow()  # 1 / KEEP rows at most
+        keys = rows["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.p = keys[order], np.append(rows["p"].to_numpy().astype(np.float32)[order], np.float32(np.nan))
+
+    def word_scores(self, lang: str, words: list[str]) -> tuple[np.ndarray, dict[int, list[str]]]:
+        """log10 probability of each word, as far as its grams are here; of words that have others, all those."""
+        grams = WordGrams.of(words, _seed(lang))
+        p = self.p[_positions(self.keys, _hashed(_seed(lang), grams.codes, grams.ends, grams.lengths))].astype(np.float64)
+        firsts = np.cumsum(grams.sizes) - grams.sizes
+        others: dict[int, list[str]] = {}
+        gone = np.isnan(p)
+        if gone.any():
+            at = np.flatnonzero(gone[grams.which])
+            for word, g in zip((np.searchsorted(firsts, at, "right") - 1).tolist(), grams.which[at].tolist()):
+                others.setdefault(word, []).append(grams.joined[grams.ends[g] - grams.lengths[g] + 1 : grams.ends[g] + 1])
+        return np.add.reduceat(np.nan_to_num(p)[grams.which], firsts), others
 
 
 class SortedModel:
-    """Sorted hash arrays: the hash of language and gram, p and bow."""
+    """A whole small model() in sorted hash arrays, for grams that no text has too: the hash of language and gram, p
+    and bow."""
 
     def __init__(self, rows: pa.Table):
-        langs = rows["lang"].combine_chunks().dictionary_encode()
-        seeds = np.array([_seed(x) for x in langs.dictionary.to_pylist()], np.uint64)
-        _, codes, lengths = _codes(rows["gram"].to_pylist())
-        keys = _hashed(seeds[langs.indices.to_numpy()], codes, np.cumsum(lengths) - 1, lengths)
+        keys = _row_hashes(rows["lang"].combine_chunks(), rows["gram"])
         order = np.argsort(keys)
         self.keys = keys[order]
         # the last place, which a gram that isn't there gets, holds no number
         self.p, self.bow = (np.append(rows[c].fill_null(np.nan).to_numpy().astype(np.float32)[order], np.float32(np.nan)) for c in ("p", "bow"))
 
     def _at(self, hashes: np.ndarray) -> np.ndarray:
-        """Positions, -1 where there is none."""
-        if not len(self.keys):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at, -1)
+        return _positions(self.keys, hashes)
 
     def look_up(self, seed: np.uint64, codes: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 of the last symbol's probability in each gram: that of the longest ending the model has, and the
@@ -222,39 +273,62 @@ class SortedModel:
         return np.add.reduceat(p[grams.which], np.cumsum(grams.sizes) - grams.sizes)
 
 
-def scored(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id, lang, the five base counts, and perplexity (null without words) of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(SortedModel(rows.toArrow()))
-    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "perplexity"]
+def scored(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """doc_id, lang, the five base counts, and perplexity (null without words) of each row; grams: _text_grams() of
+    these rows, written.
+
+    A task sums what the head has, and returns each text's other grams. No such gram is frequent, so no key of the join
+    with their probabilities is hot.
+    """
+    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    in_head = F.col("n") >= total * KEEP
+    sent = docs.sparkSession.sparkContext.broadcast(Head(grams.where(in_head)))
+    names = ["row", "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "total", "grams", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict[bytes, float]] = {}
-        for b in batches:
-            langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out = []
-            for at in range(0, len(texts), 500):
-                held = [(lang, *_words(data)) for lang, data in zip(langs[at : at + 500], texts[at : at + 500])]
+        others: dict[str, dict[bytes, list[str]]] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                held = [(lang, *_words(data)) for lang, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
                 if sum(map(len, known.values())) > CACHE_ENTRIES:
                     known.clear()
+                    others.clear()
                 new: dict[str, set[bytes]] = {}
                 for lang, _, first, _ in held:
                     own = known.setdefault(lang, {})
                     new.setdefault(lang, set()).update(w for w in first if w not in own)
-                for lang, some in new.items():
-                    if some:
-                        known[lang].update(zip(some, sent.value.word_scores(lang, [str(w, "utf-8", "replace") for w in some]).tolist()))
+                for lang, found in new.items():
+                    if found:
+                        some = list(found)
+                        scores, rest = sent.value.word_scores(lang, [str(w, "utf-8", "replace") for w in some])
+                        known[lang].update(zip(some, scores.tolist()))
+                        others.setdefault(lang, {}).update((some[i], g) for i, g in rest.items())
+                out = []
                 for lang, base, first, times in held:
-                    total = np.fromiter(map(known[lang].__getitem__, first), np.float64, len(first)) @ times
-                    out.append((*base, 10 ** min(-float(total) / (base[1] + base[0]), 300) if base[0] else None))
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), *[pa.array(x, pa.int64()) for x in cols[:5]], pa.array(cols[5], pa.float64())], names)
-
-    return _texts(docs).mapInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, perplexity double")
+                    rare: Counter = Counter()
+                    if own := others.get(lang):
+                        for w, m in zip(first, times.tolist()):
+                            for g in own.get(w, ()):
+                                rare[g] += m
+                    out.append((*base, float(np.fromiter(map(known[lang].__getitem__, first), np.float64, len(first)) @ times), list(rare), list(rare.values())))
+                cols = list(zip(*out)) or [[]] * 8
+                yield pa.RecordBatch.from_arrays([b.column(3), b.column(2), b.column(0), *[pa.array(x, pa.int64()) for x in cols[:5]], pa.array(cols[5], pa.float64()), pa.array(cols[6], pa.list_(pa.string())), pa.array(cols[7], pa.list_(pa.int64()))], names)
+
+    # written, so each row keeps its number
+    texts = _texts(docs).withColumn("row", F.monotonically_increasing_id())
+    parts = written(texts.mapInArrow(run, "row long, doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, total double, grams array<string>, times array<long>"), "quality-parts")
+    rest = parts.where(F.size("grams") > 0).select("row", "lang", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("row", "lang", F.col("x.grams").alias("gram"), F.col("x.times").alias("m"))
+    more = rest.join(grams.where(~in_head).select("lang", "gram", "p"), ["lang", "gram"]).groupBy("row").agg(F.sum(F.col("m") * F.col("p").cast("double")).alias("more"))
+    mean = -(F.col("total") + F.coalesce("more", F.lit(0.0))) / (F.col("word_chars") + F.col("n_words"))
+    return parts.join(more, "row", "left").select("doc_id", "lang", *names[3:8], F.when(F.col("n_words") > 0, F.pow(F.lit(10.0), F.least(mean, F.lit(300.0)))).alias("perplexity"))
 
 
 def judge(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     """doc_id, the base counts, base_failed, perplexity, low and high (the language's band), kept."""
-    rows = written(scored(docs, model(written(gram_counts(docs), "kn-grams"))), "quality")
+    grams = written(_text_grams(written(gram_counts(docs), "kn-grams")), "kn-text-grams")
+    rows = written(scored(docs, grams), "quality")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("x", F.log10("perplexity"))
     fit = rows.where("not base_failed")

@@ -216,6 +216,17 @@ def test_kneser_ney_adds_up(docs):
         assert 0.9 < total <= 1.001
 
 
+def test_quality_scores_every_gram(docs, monkeypatch):
+    """However few grams the head holds, a text's perplexity is that under the whole model."""
+    whole = quality.SortedModel(quality.model(written(quality.gram_counts(docs), "test")).toArrow())
+    rows = sorted((str(i), (t or "").split(), "en" if (i or 0) % 2 else "") for i, t in ROWS)
+    want = [(i, 10 ** (-whole.word_scores(lang, w).sum() / (len(w) + sum(map(len, w)))) if w else 0.0) for i, w, lang in rows]
+    for share in (2.0**-24, 0.01, 1.0):
+        monkeypatch.setattr(quality, "KEEP", share)
+        got = sorted(((str(r.doc_id), r.perplexity or 0.0) for r in quality.judge(docs).collect()), key=lambda r: r[0])
+        assert [i for i, _ in got] == [i for i, _ in want] and [p for _, p in got] == pytest.approx([p for _, p in want], rel=1e-6)
+
+
 def test_pii(docs, none):
     got = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
     mail = got[None].text.split()[1]
