@@ -98,6 +98,16 @@ def test_brown(docs, none):
     assert {r.n_known for r in brown.score(docs, brown.fit(none, empty), empty).collect()} == {0}
 
 
+def test_brown_moves_words_of_a_small_share(spark, docs):
+    """A word of 2 in 3 million tokens is a unit that clustering moves, in as many sweeps and beside as many tail units as
+    its figures were measured with."""
+    hashes = [int(np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64)) for w in (b"the", b"mat", b"cat")]
+    counts = spark.createDataFrame(list(zip(hashes, [brown.tail_unit(w) for w in (b"the", b"mat", b"cat")], (3_000_000, 2, 1))), "h long, t int, n long")
+    model = brown.fit(docs.where("doc_id < 3"), counts, classes=8)
+    assert set(model.head.view(np.int64).tolist()) == set(hashes[:2])
+    assert (brown.TAIL, brown.SWEEPS) == (4096, 4) and len(model.classes) == 1 + 4096 + 2
+
+
 def test_maxscore(spark):
     rng = np.random.default_rng(3)
     v = np.round(rng.normal(0, 0.2, (400, 16)) * 8) / 64
