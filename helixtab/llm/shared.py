@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Entries that a worker's word cache holds before it starts anew.
 CACHE_ENTRIES = 400_000
+#: Rows of a table up to which join_small broadcasts it.
+SMALL_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset (tests), one of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Only where that is unset and there is but one machine (local
+    mode, as in tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="helixtab-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,6 +42,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = SMALL_ROWS) -> DataFrame:
+    """big joined with small, a written table that is mostly small: it is broadcast if it has at most `rows` rows (a row
+    is some hundred bytes at most), and else joined by a shuffle that Spark splits where a key is hot."""
+    return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)
+
+
 def split_of(doc_id: str, folds: int):
     """crc32 of doc_id as text, modulo folds (null ids: as the empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds

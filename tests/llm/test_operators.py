@@ -200,13 +200,70 @@ def test_warc(spark):
     assert warc.coalesced([(0, 10), (20, 5), (1 << 20, 3)]) == [[(0, 10), (20, 5)], [(1 << 20, 3)]]
 
 
+def extracted(spark, rows):
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, host string")
+    return sorted((r.page_id, r.text) for r in html.extract(pages).collect())
+
+
 def test_html(spark):
     page = lambda i, body: f"<html><body><header>Site</header><nav><a href=x>Home</a></nav>{body}<footer>&copy; Site</footer></body></html>"
     rows = [(i, "http://h.example/x", page(i, f"<div class=content><h1>T{i}</h1><p>One <b>t</b>wo {i} &lt; &amp;<p>next\n line {i}<div>Read more news</div></div><div class='sidebar ad'>buy</div>")) for i in range(8)]
     rows += [(50, None, None), (51, "http://o.example/", "plain < text"), (52, "http://o.example/", page(0, "<article><h1>A</h1><p>b<script>x</script><section class=comments>no</section></article>"))]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, host string")).collect()}
+    rows += [(60, "http://p.example/", "<div class='content has-sidebar'><article>in</article></div>"), (61, "http://p.example/2", "<body id=header-fixed-page><p>Some text <div class=ad-banner>buy</div>")]
+    got = dict(extracted(spark, rows))
     assert all(got[i] == f"T{i} One two {i} < & next line {i}" for i in range(8))
-    assert (got[50], got[51], got[52]) == ("", "plain < text", "A b")
+    assert (got[50], got[51], got[52], got[60], got[61]) == ("", "plain < text", "A b", "in", "Some text")
+    assert extracted(spark, []) == []
+    assert extracted(spark, rows[:8] + rows[:8]) == sorted(extracted(spark, rows[:8]) * 2)
+
+
+def plain(i, body):
+    """No element and no class name that says what it is."""
+    return f"<html><body><div class=x1>Our shop Start Contact</div>{body}<div class=x9>Call us now {i % 3} days {i % 5}</div></body></html>"
+
+
+def test_html_template_decides(spark):
+    """Pages without article, main or telling names: the slots of the nested classes say what is main text, which a
+    page can't tell alone. Two page types take turns; a page's h1 stays, whichever class it is in."""
+    words_of = lambda i, n: " ".join(f"w{(i * 7 + k * k) % 101}" for k in range(n))
+    story = lambda i: plain(i, f"<div class=q><h1>Story {i}</h1><div class=t><p>{words_of(i, 40)}</p><p>Terms of use apply</p><p>{words_of(i + 50, 30)}</p></div></div>")
+    offer = lambda i: plain(i, f"<div class=z><p>{words_of(i + 9, 50)}</p></div>")
+    rows = [(i, "http://a.example/", story(i) if i % 2 else offer(i)) for i in range(16)]
+    want = [(i, f"Story {i} {words_of(i, 40)} {words_of(i + 50, 30)}" if i % 2 else words_of(i + 9, 50)) for i in range(16)]
+    assert extracted(spark, rows) == want
+    # without the template, no story is right
+    assert not any(html.main_text(rows[i][2], frozenset(), frozenset()) == want[i][1] for i in range(1, 16, 2))
+    # what is on every page but short of a class's pages, or on copies of one page only, is no template
+    copies = [(i, "http://b.example/", story(3)) for i in range(9)]
+    assert {t for _, t in extracted(spark, copies)} == {html.main_text(story(3), frozenset(), frozenset())}
+
+
+def test_html_classes_against_brute_force(spark):
+    """Equivalence classes from whole occurrence vectors, nested by paths."""
+    rng = np.random.default_rng(4)
+    bodies = [plain(i, "".join(f"<div class={c}><i>{c} {rng.integers(9)}</i><p>fixed {c}</p></div>" * int(rng.integers(0, 3)) for c in "abc")) for i in range(12)]
+    pages = spark.createDataFrame([(i, "http://h.example/", h) for i, h in enumerate(bodies)], "page_id long, url string, html string")
+    template = html.templates(written(html.occurrences(pages), "test")).first()
+    vectors: dict[int, list[int]] = {}
+    kinds: dict[int, int] = {}
+    for i, h in enumerate(bodies):
+        page = html.parse(h)
+        for at, e in page.elements.items():
+            vectors.setdefault(at, [0] * 12)[i] += e.times
+            kinds[at] = e.up
+        for b in page.blocks:
+            for t, _ in html.text_tokens(b.path, b.text):
+                vectors.setdefault(t, [0] * 12)[i] += 1
+    want: dict[tuple, tuple[set, set]] = {}
+    for t, v in vectors.items():
+        if sum(x > 0 for x in v) >= html.SUPPORT:
+            want.setdefault(tuple(v), (set(), set()))[t not in kinds].add(t)
+    assert {(frozenset(c["elements"]), frozenset(c["texts"])) for c in template.classes} == {(frozenset(e), frozenset(t)) for e, t in want.values() if e}
+    for c in template.classes:
+        above = kinds[c["elements"][0]]
+        while above and above in c["elements"]:
+            above = kinds[above]
+        assert c["parent"] is None if not above else above in template.classes[c["parent"]]["elements"]
 
 
 def test_quality(docs, none):
