@@ -1,12 +1,15 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 Terms: the words (runs of letters, lower case) of a text and their first 3 to 5 characters, each hashed to one
-of 2^22 slots, at levels: a term that occurs once, twice, three or five times in a text is a term each. The machine has a weight and a small vector for each term that training
-texts tie to the label, so pairs of terms (an insult and a group) add what single weights miss.
+of 2^22 slots, at levels: a term that occurs once, twice, three or five times in a text is a term each. The machine has
+a weight and a small vector for each slot that training texts tie to the label, for or against it, and for the COMMON
+slots that most of them have, whatever their labels. So pairs of terms (an insult and a group, each of which clean texts
+have too) add what single weights miss. Not learned: pairs of terms that are both rare and neutral on their own.
 
 Nulls: a null text is empty and scores the prior. Labels that are null, and those without a document, are not
 learned from; repeated rows count as they come. No labelled row, or one class only: every score is 0.0.
-Empty tables give empty results; extra columns are ignored.
+Empty tables give empty results. Extra columns are carried along by score(), and ignored otherwise; one with the name of
+the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from helixtab.llm.shared import CACHE_ENTRIES, written
 
 SLOTS, LEVELS = 1 << 22, (1, 2, 3, 5)
-#: A term's least gain in log likelihood; below it, counts this telling come up by chance.
-MIN_GAIN = 6.0
+#: A slot's least texts and least gain in log likelihood by the label; below it, counts this telling come up by chance.
+MIN_TEXTS, MIN_GAIN = 3, 6.0
+#: Slots of the most texts that are in the machine in any case.
+COMMON = 300
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -84,11 +89,11 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.raw(at), -40, 40))))
 
 
-def _train(slots: np.ndarray, rows: list[list[int]], y: np.ndarray, rank: int, epochs: int, seed: int = 11) -> Machine:
-    """Adagrad on the logistic loss, classes weighted by the square root of their rarity; terms are left out by chance so that each learns to
-    speak for itself."""
+def _train(slots: np.ndarray, rows: list[list[int]], y: np.ndarray, rank: int, epochs: int, keep: float = 0.7, decay: float = 1e-4, seed: int = 11) -> Machine:
+    """Adagrad on the logistic loss, classes weighted by the square root of their rarity. Terms are left out by chance,
+    so that each learns to speak for itself; those that stay count for more by as much."""
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(slots)), rng.normal(0, 0.02, (len(slots), rank))
+    w, v = np.zeros(len(slots)), rng.normal(0, 0.05, (len(slots), rank))
     gw, gv, bias, gb = np.full(len(w), 1e-2), np.full(v.shape, 1e-2), -2.0, 1e-2
     weight = np.where(y == 1, np.sqrt(0.5 / max(y.mean(), 1e-6)), np.sqrt(0.5 / max(1 - y.mean(), 1e-6)))
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -97,25 +102,26 @@ def _train(slots: np.ndarray, rows: list[list[int]], y: np.ndarray, rank: int, e
         for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
             at = np.concatenate([flat[starts[i] : starts[i + 1]] for i in part]) if len(part) else flat[:0]
             row = np.repeat(np.arange(len(part)), lengths[part])
-            stay = rng.random(len(at)) < 0.4
+            stay = rng.random(len(at)) < keep
             at, row = at[stay], row[stay]
-            total = np.zeros((len(part), rank))
-            np.add.at(total, row, v[at])
-            square = np.zeros(len(part))
-            np.add.at(square, row, (v[at] ** 2).sum(1))
-            z = bias + np.bincount(row, w[at], len(part)) + 0.5 * ((total**2).sum(1) - square)
+            x = v[at] / keep
+            total = np.stack([np.bincount(row, x[:, k], len(part)) for k in range(rank)], 1)
+            square = np.bincount(row, (x**2).sum(1), len(part))
+            z = bias + np.bincount(row, w[at], len(part)) / keep + 0.5 * ((total**2).sum(1) - square)
             d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * weight[part] / len(part)
-            grad_w, grad_v = np.bincount(at, d[row], len(w)) + 1e-5 * w, 1e-5 * v
-            np.add.at(grad_v, at, d[row, None] * (total[row] - v[at]))
+            pair = d[row, None] * (total[row] - x) / keep
+            grad_w = np.bincount(at, d[row] / keep, len(w)) + decay * w
+            grad_v = np.stack([np.bincount(at, pair[:, k], len(w)) for k in range(rank)], 1) + decay * v
             gw, gv, gb = gw + grad_w**2, gv + grad_v**2, gb + d.sum() ** 2
-            w, v, bias = w - 0.3 * grad_w / np.sqrt(gw), v - 0.05 * grad_v / np.sqrt(gv), bias - 0.1 * d.sum() / np.sqrt(gb)
+            w, v, bias = w - 0.3 * grad_w / np.sqrt(gw), v - 0.1 * grad_v / np.sqrt(gv), bias - 0.1 * d.sum() / np.sqrt(gb)
     return Machine(slots, float(bias), w, v)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "toxic", max_rows: int = 6000, terms: int = 4096, rank: int = 4, epochs: int = 25) -> Machine | None:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "toxic", max_rows: int = 6000, common: int = COMMON, rank: int = 4, epochs: int = 25) -> Machine | None:
     """Learns from at most max_rows labelled rows of each class, those with the smallest hashes of doc_id; `learn` is
-    a condition on the labels' rows. Spark counts the terms of these texts; the `terms` most telling ones (by how
-    much oftener the label has them than chance) go into the machine. Returns None if there are not two classes."""
+    a condition on the labels' rows. Spark counts the slots of these texts; those that the label goes with, or that go
+    without it, by MIN_GAIN and the `common` ones of most texts go into the machine; there are no more than the bounded
+    sample's texts have. Returns None if there are not two classes."""
     rows = labels.where(f"doc_id is not null and {label} in (0, 1)").where(F.lit(True) if learn is None else learn).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
     picked = [rows.where(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
     # bounded by max_rows, so it may be broadcast
@@ -133,11 +139,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label:
     if len(sizes) < 2:
         return None
     seen = sample.mapInArrow(count, "slot long, n0 int, n1 int").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    rate0, rate1 = (F.col("n0") + 0.5) / (sizes[0] + 1), (F.col("n1") + 0.5) / (sizes[1] + 1)
-    expected = (F.col("n0") + F.col("n1")) * (sizes[1] / (sizes[0] + sizes[1]))
-    gain = F.col("n1") * F.log(F.col("n1") / expected) - (F.col("n1") - expected)  # log likelihood over chance
-    best = seen.where("n1 >= 3").withColumn("gain", gain).where((rate1 > 3 * rate0) & (F.col("gain") >= MIN_GAIN)).orderBy(F.desc("gain"), "slot").limit(terms)
-    slots = np.sort(np.array([r["slot"] for r in best.select("slot").collect()], np.int64))
+    share, n = sizes[1] / (sizes[0] + sizes[1]), F.col("n0") + F.col("n1")
+    cell = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    rest0, rest1 = sizes[0] - F.col("n0"), sizes[1] - F.col("n1")
+    gain = cell(F.col("n1"), n * share) + cell(F.col("n0"), n * (1 - share)) + cell(rest1, (rest0 + rest1) * share) + cell(rest0, (rest0 + rest1) * (1 - share))
+    known = seen.where(n >= MIN_TEXTS).select("slot", n.alias("n"), gain.alias("gain"))
+    best = known.where(F.col("gain") >= MIN_GAIN).select("slot").union(known.orderBy(F.desc("n"), "slot").limit(common).select("slot")).distinct()
+    slots = np.sort(np.array([r["slot"] for r in best.collect()], np.int64))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Selected(slots)
@@ -149,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label:
 
 
 def score(docs: DataFrame, machine: Machine | None, column: str = "toxicity") -> DataFrame:
-    """docs with the score (0 to 1) of each whole text. The machine is bounded by its number of terms."""
+    """docs with the score (0 to 1) of each whole text. The machine is bounded by the sample it was fitted on."""
+    docs = docs.drop(column)
     schema = docs.select("*", F.lit(0.0).alias(column)).schema
     text_at = docs.columns.index("text")
     model = docs.sparkSession.sparkContext.broadcast(machine)

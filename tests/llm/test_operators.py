@@ -183,6 +183,36 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, machine).count() == 0
 
 
+def test_toxicity_learns_pairs(spark):
+    """Toxic is who has the slur and the group; each alone is clean. The pair term tells them apart, the weights don't."""
+    rng = np.random.default_rng(2)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("lt", "nk", "rp")]
+    rows = [(i, " ".join([*rng.choice(vocabulary, 25), *["quixor"] * (i & 1), *["zemblan"] * (i >> 1 & 1)]), int(i % 4 == 3)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.fit(df.drop("toxic"), df.drop("text"), learn=F.col("doc_id") < 800)
+    for m, least, most in ((machine, 97, 3), (toxicity.Machine(machine.slots, machine.bias, machine.w, machine.v * 0), 0, 0)):
+        got = {r.doc_id: r.score >= 0.7 for r in toxicity.score(df, m, "score").collect()}
+        held = range(800, 1200)
+        assert sum(got[i] for i in held if i % 4 == 3) >= least and sum(got[i] for i in held if i % 4 != 3) <= most
+
+
+def test_toxicity_score_against_brute_force(spark):
+    """The sum over pairs, pair by pair; a clashing column is replaced."""
+    rng = np.random.default_rng(6)
+    texts = ["you fool and you", "Fool fools", "", None, "a b c a a a"]
+    slots = np.array(sorted({toxicity.slot(t, n) for x in texts for w in toxicity.WORD.findall((x or "").lower()) for t in toxicity.terms_of(w) for n in toxicity.LEVELS}))
+    m = toxicity.Machine(slots, -0.3, rng.normal(size=len(slots)), rng.normal(size=(len(slots), 3)))
+    df = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, toxicity string")
+    for r in toxicity.score(df, m).collect():
+        times: dict[int, int] = {}
+        for w in toxicity.WORD.findall((r.text or "").lower()):
+            for t in toxicity.terms_of(w):
+                times[t] = times.get(t, 0) + 1
+        on = sorted({int(np.searchsorted(slots, toxicity.slot(t, n))) for t, k in times.items() for n in toxicity.LEVELS if k >= n})
+        z = m.bias + sum(m.w[i] for i in on) + sum(m.v[i] @ m.v[j] for i in on for j in on if i < j)
+        assert r.toxicity == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_warc(spark):
     big = "<p>" + "x" * 200
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (2, "http://a/2", big), (3, None, None), (4, "u", ""), (5, "http://b/é", "short"), (6, "http://b/6", "short"), (None, "n", big), (7, "http://c", "é" * 60)]
