@@ -3,12 +3,12 @@
 A source's repetition rate is what its target share of the mixture needs over what it has, both in characters. A
 document's number of copies is a Poisson variable of that mean, got by inverting the distribution at a uniform number
 that comes from a hash of its id, its text and the seed; so the same document gets the same number wherever and
-whenever it is drawn. Copies are put into a global order by another hash.
+whenever it is drawn. Copies are put into a global order by another hash, a uniform number too, so a copy's partition is
+known from it: texts are shuffled once, without a sample of the keys before.
 
 Nulls: a null source is a source, a null text has no characters. Repeated rows get the same number of copies. A source
 without characters, or without weight where weights are given, has rate zero. Empty tables give empty results; extra
-columns are carried along, also such as `copy` of other types: a clashing name of the two columns that are added is
-an error that says so.
+columns are carried along, also such as `rate`; a column named copy or mix_key, which are added, is an error that says so.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixtab.llm.shared import join_small, written
 
 #: Rates over this are drawn as a sum of several, as the probability of no copy would be too small for a double.
 CHUNK = 500
@@ -50,22 +51,26 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, budget: floa
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, seed: int = 42, shuffle: bool = True) -> DataFrame:
-    """docs, each row as often as drawn, with copy (from 0) and mix_key; sorted by mix_key over all partitions if
-    shuffle is set."""
+    """docs, each row as often as drawn, with copy (from 0) and mix_key; sorted by mix_key over all partitions, of
+    which there are spark.sql.shuffle.partitions, if shuffle is set."""
     if {"copy", "mix_key"} & set(docs.columns):
         raise ValueError("docs has a column named copy or mix_key")
-    rate = rates(docs, weights, budget)
-    top = rate.agg(F.max("rate")).first()[0] or 0.0
+    rate = written(rates(docs, weights, budget).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate")), "mix-rates")
+    top = rate.agg(F.max("_mix_rate")).first()[0] or 0.0
     largest = min(top, CHUNK)
     most = math.ceil(largest + 12 * math.sqrt(largest) + 24)
-    # the join is on source, null-safe; the rates have a row for each source
-    drawn = docs.join(rate.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
-    rate_, parts = F.coalesce("rate", F.lit(0.0)), F.greatest(F.ceil(F.coalesce("rate", F.lit(0.0)) / CHUNK).cast("int"), F.lit(1))
+    # null-safe; the rates have a row for each source
+    drawn = join_small(docs, rate, F.col("source").eqNullSafe(F.col("_mix_source")), "left")
+    rate_ = F.coalesce("_mix_rate", F.lit(0.0))
     if top > CHUNK:
+        parts = F.greatest(F.ceil(rate_ / CHUNK).cast("int"), F.lit(1))
         part = lambda i: poisson(rate_ / parts, uniform(seed, "copies", "doc_id", more=F.when(i > 1, F.concat(F.lit(":"), i.cast("string"))).otherwise("")), most)
-        drawn = drawn.withColumn("_n", F.aggregate(F.transform(F.sequence(F.lit(1), parts), part), F.lit(0), lambda a, x: a + x))
+        n = F.aggregate(F.transform(F.sequence(F.lit(1), parts), part), F.lit(0), lambda a, x: a + x)
     else:
-        drawn = drawn.withColumn("_n", poisson(rate_, uniform(seed, "copies", "doc_id"), most))
-    copies = drawn.where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("mix_key", uniform(seed, "order", "doc_id", "copy"))
-    out = copies.select(*docs.columns, "copy", "mix_key")
-    return out.orderBy("mix_key", "doc_id", "copy") if shuffle else out
+        n = poisson(rate_, uniform(seed, "copies", "doc_id"), most)
+    copies = drawn.withColumn("_mix_n", n).where("_mix_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1)))
+    out = copies.withColumn("mix_key", uniform(seed, "order", "doc_id", "copy")).select(*docs.columns, "copy", "mix_key")
+    if not shuffle:
+        return out
+    places = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartitionById(places, F.floor(F.col("mix_key") * places).cast("int")).sortWithinPartitions("mix_key", "doc_id", "copy")

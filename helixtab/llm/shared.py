@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z and nothing else, on UTF-8 bytes.
@@ -42,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = SMALL_ROWS) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on: list[str] | Column, how: str = "inner", rows: int = SMALL_ROWS) -> DataFrame:
     """big joined with small, a written table that is mostly small: it is broadcast if it has at most `rows` rows (a row
     is some hundred bytes at most), and else joined by a shuffle that Spark splits where a key is hot."""
     return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)
