@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixtab.llm.shared import fresh, written
+from helixtab.llm.shared import fresh, join_small, written
 
 MIN_REVISIT = 100
 #: Ranges closer than GAP bytes are read together, up to RANGE bytes.
@@ -71,14 +71,15 @@ def parse(member: bytes) -> dict:
 
 
 def decided(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html (not null), digest, record_type, refers_to.
+    """page_id, url, html (not null), digest, payload_bytes, record_type, refers_to.
 
-    The smallest id of each digest is an aggregation, combined before the shuffle; only digests with copies are
-    joined back, so most pages pass without. The join is one Spark can split where a digest is hot."""
+    What has copies is an aggregation of digests, without the pages: a row for each group of copies, with its smallest
+    id. Pages are read again and joined with it by digest, without a shuffle where the groups are few enough for a
+    broadcast, else with one that Spark can split where a digest is hot."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    first = rows.where(F.col("payload_bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("copies")).where("copies > 1 and original is not null").select("digest", "original")
-    joined = rows.join(first, "digest", "left")
+    groups = rows.where(F.col("payload_bytes") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("copies"))
+    joined = join_small(rows, written(groups.where("copies > 1 and original is not null").select("digest", "original"), "warc-copies"), ["digest"], "left")
     again = F.coalesce(~F.col("page_id").eqNullSafe(F.col("original")) & F.col("original").isNotNull(), F.lit(False))
     return joined.select("page_id", "url", "html", "digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("original")).alias("refers_to"))
 
@@ -113,7 +114,7 @@ def read(selected: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that index rows name: page_id, url, digest, record_type, refers_to, payload_bytes, payload_digest
     (SHA-256 of the payload that was read; null for revisits, which hold none) and payload.
 
-    Ranges are made in each file's order by a running sum over gaps, so one row goes out for each coalesced range."""
+    The rows of a file and RANGE come together, sorted by offset; ranges that lie close are read at once."""
     spans = selected.select("file", "offset", "length").groupBy("file", F.floor(F.col("offset") / RANGE).alias("part")).agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("spans"))
     names = ["page_id", "url", "digest", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
@@ -149,8 +150,11 @@ def coalesced(spans: list[tuple[int, int]], gap: int = GAP, most: int = RANGE) -
 
 def read_whole(index: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of all records, as read back. A revisit's
-    payload is that of the response it refers to."""
-    back = read(index, with_payload=False).drop("payload")
-    own = back.where("record_type = 'response'").select("page_id", F.col("payload_digest").alias("of_original"), F.col("payload_bytes").alias("bytes_of_original")).dropDuplicates(["page_id"])
-    found = back.join(own.withColumnRenamed("page_id", "original"), F.col("refers_to") == F.col("original"), "left")
+    payload is that of the response it refers to, which is the one with its own payload digest if several have that
+    page_id."""
+    back = written(read(index, with_payload=False).drop("payload"), "warc-back")
+    asked = back.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "digest").distinct()
+    own = back.where("record_type = 'response'").select("page_id", "digest", "payload_digest", "payload_bytes").join(asked, ["page_id", "digest"], "left_semi").distinct()
+    own = written(own.toDF("original", "of_digest", "of_original", "bytes_of_original"), "warc-originals")
+    found = join_small(back, own, (F.col("refers_to") == F.col("original")) & (F.col("digest") == F.col("of_digest")), "left")
     return found.select("page_id", F.coalesce(F.when(F.col("record_type") == "revisit", F.col("bytes_of_original")), F.col("payload_bytes")).alias("payload_bytes"), F.coalesce("payload_digest", "of_original").alias("payload_digest"), "record_type", "refers_to")
