@@ -33,7 +33,7 @@ def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maxscore.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return maxscore.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op4_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_maxscore_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
                    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-             s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) as score
+             s as (select q.vec_id as query_id, c.vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 0) as bigint) as score
                    from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)
         select query_id, cast(rank as integer) as rank, vec_id, score
         from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5""",

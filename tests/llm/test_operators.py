@@ -108,18 +108,26 @@ def test_brown_moves_words_of_a_small_share(spark, docs):
     assert (brown.TAIL, brown.SWEEPS) == (4096, 4) and len(model.classes) == 1 + 4096 + 2
 
 
-def test_maxscore(spark):
+def test_maxscore(spark, monkeypatch):
     rng = np.random.default_rng(3)
     v = np.round(rng.normal(0, 0.2, (400, 16)) * 8) / 64
     v[10] = v[20]
-    rows = [(i, [float(x) for x in r], "e") for i, r in enumerate(v)] + [(1000, None, "e"), (1001, [float("nan")] * 16, "e"), (1002, [None] * 16, "e"), (None, [0.0] * 16, "e"), (1003, [1.0], "e")]
-    got = maxscore.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string"), F.col("id") % 50 == 0, k=5).collect()
+    v[150, 12:] = 0
+    lists = [[float(x) for x in (r[:12] if i == 150 else r)] for i, r in enumerate(v)]
+    rows = [(i, x, "e") for i, x in enumerate(lists)] + [(1000, None, "e"), (1001, [float("nan")] * 16, "e"), (1002, [None] * 16, "e"), (None, [0.0] * 16, "e"), (1003, [float("inf")] * 16, "e")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
     m = np.floor(v * 256).astype(int)
-    for q in range(0, 400, 50):
-        want = sorted((-int(m[i] @ m[q]), i) for i in range(400) if i != q)[:5]
-        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
-    assert len(got) == 40
-    assert maxscore.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 50 == 0).count() == 0
+    for block, seeds in ((4096, 4096), (3, 7), (4096, 2)):
+        monkeypatch.setattr(maxscore, "QUERY_BLOCK", block)
+        monkeypatch.setattr(maxscore, "SEED_ROWS", seeds)
+        got = maxscore.top_k(table, F.col("vec_id") % 50 == 0, k=5).collect()
+        for q in range(0, 400, 50):
+            want = sorted((-int(m[i] @ m[q]), i) for i in range(400) if i != q)[:5]
+            assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+        assert len(got) == 40
+    assert maxscore.top_k(table.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
+    for none in (table.limit(0), table.where("vec_id = 1000")):
+        assert maxscore.top_k(none, F.col("vec_id") % 50 == 0).count() == 0
 
 
 def test_mixing(docs, none):
@@ -141,6 +149,7 @@ def test_mixing(docs, none):
     assert {r.source for r in only} == {"s1"} and rate > mixing.CHUNK and all(abs(r["count"] - rate) < 6 * rate**0.5 for r in only)
     with pytest.raises(ValueError):
         mixing.mix(docs.withColumn("copy", F.lit(1)))
+    assert mixing.mix(docs.withColumn("rate", F.lit("x")), budget=0.004).select(*docs.columns, "copy").exceptAll(mixing.mix(docs, budget=0.004).select(*docs.columns, "copy")).count() == 0
 
 
 def test_packing(docs, none):
@@ -224,6 +233,9 @@ def test_warc(spark):
         body = (dict((i, h) for i, _, h in rows)[r.page_id] or "").encode()
         assert (r.payload_bytes, r.payload_digest) == (len(body), hashlib.sha256(body).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", 1) if r.page_id in (2, None) else ("response", None))
+    twice = spark.createDataFrame([(1, "u", "a" * 203), (1, "u", "b" * 203), (2, "u", "a" * 203), (3, "u", "b" * 203)], "page_id long, url string, html string")
+    for r in warc.read_whole(warc.write(twice)).where("page_id > 1").collect():
+        assert (r.payload_digest, r.refers_to) == (hashlib.sha256(("a" if r.page_id == 2 else "b").encode() * 203).hexdigest(), 1)
     some = warc.read(index.where("page_id in (5, 7)")).collect()
     assert {(r.page_id, bytes(r.payload).decode()) for r in some} == {(5, "short"), (7, "é" * 60)}
     assert warc.write(pages.limit(0)).count() == 0
