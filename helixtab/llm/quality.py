@@ -7,12 +7,14 @@ tables. No n-gram is cut. The model is that of the texts it scores, so it has ev
 make up at least KEEP of all symbols (1 / KEEP at most, a proven bound) are in an array sorted by hash, which tasks
 search; the probabilities of all others are joined to the texts that have them.
 
-A text's perplexity is that of all its words. Its language's band is the median of the logarithm, plus and minus
-WIDTH times the median absolute deviation (at least MIN_DEVIATION) over all texts that the counting rules
-pass; texts outside it are rejected.
-
-Nulls: a null text has no words and fails the base rules; a null language is a language. Repeated rows count as rows.
-Empty tables give empty results; extra columns are ignored.
+A text's perplexity is that of all its words. Each language has a band around the median of its logarithm, over all
+texts that the counting rules pass; texts outside it are rejected. The mean over few symbols strays more than that over
+many, so the band of a text of n symbols reaches WIDTH * sqrt(spread^2 / n + drift^2) up and down: spread is the
+language's median of |deviation| * sqrt(n), drift its median |deviation| among texts of at least the median length; both
+have a least value, for languages of few texts.
+
+Nulls: a null text has no words and fails the base rules; a null language is a language, another than the empty one.
+Repeated rows count as rows. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixtab.llm.shared import CACHE_ENTRIES, text_bytes, written
+from helixtab.llm.shared import CACHE_ENTRIES, join_small, text_bytes, written
 
 ORDER, KEEP = 5, 2.0**-24
-WIDTH, MIN_DEVIATION = 8.0, 0.04
+WIDTH, MIN_SPREAD, MIN_DRIFT = 4.0, 0.25, 0.004
 START, END = "\x02", "\x03"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,7 +137,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("lang", F.lit("")).alias("lang"), text_bytes().alias("data"), F.col("doc_id").cast("long").alias("doc_id"))
+    """Texts as bytes; lang: = and the language, or empty if that is null."""
+    return docs.select(F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("lang"), text_bytes().alias("data"), F.col("doc_id").cast("long").alias("doc_id"))
 
 
 def _levels(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -325,15 +328,24 @@ def scored(docs: DataFrame, grams: DataFrame) -> DataFrame:
     return parts.join(more, "row", "left").select("doc_id", "lang", *names[3:8], F.when(F.col("n_words") > 0, F.pow(F.lit(10.0), F.least(mean, F.lit(300.0)))).alias("perplexity"))
 
 
+def bands(fit: DataFrame) -> DataFrame:
+    """lang, middle, spread, drift over rows with lang, x (log10 of the perplexity) and n (symbols)."""
+    median = lambda x: F.percentile_approx(x, 0.5, 10000)
+    middle = written(fit.groupBy("lang").agg(median("x").alias("middle"), median("n").alias("middle_n")), "quality-middle")
+    off = F.abs(F.col("x") - F.col("middle"))
+    found = join_small(fit, middle, ["lang"]).groupBy("lang").agg(F.first("middle").alias("middle"), median(off * F.sqrt("n")).alias("spread"), median(F.when(F.col("n") >= F.col("middle_n"), off)).alias("drift"))
+    return found.select("lang", "middle", F.greatest("spread", F.lit(MIN_SPREAD)).alias("spread"), F.greatest("drift", F.lit(MIN_DRIFT)).alias("drift"))
+
+
 def judge(docs: DataFrame, width: float = WIDTH) -> DataFrame:
-    """doc_id, the base counts, base_failed, perplexity, low and high (the language's band), kept."""
+    """doc_id, lang, the base counts, base_failed, perplexity, low and high (the language's band at the text's
+    length), kept."""
     grams = written(_text_grams(written(gram_counts(docs), "kn-grams")), "kn-text-grams")
     rows = written(scored(docs, grams), "quality")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed).withColumn("x", F.log10("perplexity"))
-    fit = rows.where("not base_failed")
-    middle = fit.groupBy("lang").agg(F.percentile_approx("x", 0.5, 10000).alias("middle"))
-    spread = fit.join(middle, "lang").groupBy("lang").agg(F.first("middle").alias("middle"), F.percentile_approx(F.abs(F.col("x") - F.col("middle")), 0.5, 10000).alias("spread"))
-    band = spread.select("lang", F.pow(F.lit(10.0), F.col("middle") - width * F.greatest("spread", F.lit(MIN_DEVIATION))).alias("low"), F.pow(F.lit(10.0), F.col("middle") + width * F.greatest("spread", F.lit(MIN_DEVIATION))).alias("high"))
-    inside = F.coalesce((F.col("perplexity") >= F.col("low")) & (F.col("perplexity") <= F.col("high")), F.lit(False))
-    return rows.join(band, "lang", "left").withColumn("kept", ~F.col("base_failed") & inside).drop("x")
+    rows = rows.withColumn("base_failed", failed).withColumn("x", F.log10("perplexity")).withColumn("n", F.col("word_chars") + F.col("n_words"))
+    banded = join_small(rows, written(bands(rows.where("not base_failed")), "quality-bands"), ["lang"], "left")
+    reach = width * F.sqrt(F.col("spread") ** 2 / F.greatest("n", F.lit(1)) + F.col("drift") ** 2)
+    inside = F.coalesce(F.abs(F.col("x") - F.col("middle")) <= reach, F.lit(False))
+    limits = {"low": F.pow(F.lit(10.0), F.col("middle") - reach), "high": F.pow(F.lit(10.0), F.col("middle") + reach), "kept": ~F.col("base_failed") & inside, "lang": F.when(F.col("lang") != "", F.expr("substring(lang, 2)"))}
+    return banded.withColumns(limits).drop("x", "n", "middle", "spread", "drift")

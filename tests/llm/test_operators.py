@@ -328,7 +328,7 @@ def test_kneser_ney_adds_up(docs):
 def test_quality_scores_every_gram(docs, monkeypatch):
     """However few grams the head holds, a text's perplexity is that under the whole model."""
     whole = quality.SortedModel(quality.model(written(quality.gram_counts(docs), "test")).toArrow())
-    rows = sorted((str(i), (t or "").split(), "en" if (i or 0) % 2 else "") for i, t in ROWS)
+    rows = sorted((str(i), (t or "").split(), "=en" if (i or 0) % 2 else "") for i, t in ROWS)
     want = [(i, 10 ** (-whole.word_scores(lang, w).sum() / (len(w) + sum(map(len, w)))) if w else 0.0) for i, w, lang in rows]
     for share in (2.0**-24, 0.01, 1.0):
         monkeypatch.setattr(quality, "KEEP", share)
@@ -336,6 +336,72 @@ def test_quality_scores_every_gram(docs, monkeypatch):
         assert [i for i, _ in got] == [i for i, _ in want] and [p for _, p in got] == pytest.approx([p for _, p in want], rel=1e-6)
 
 
+def kneser_ney(texts):
+    """A modified Kneser-Ney model of order 5 over symbols, in the plainest way: gram -> probability of its last."""
+    raw: dict[str, int] = {}
+    for w in (w for t in texts for w in (t or "").split()):
+        x = f"\x02{w}\x03"
+        for i in range(1, len(x)):
+            g = x[max(0, i - 4) : i + 1]
+            raw[g] = raw.get(g, 0) + 1
+    counts: dict[int, dict[str, int]] = {5: {g: n for g, n in raw.items() if len(g) == 5}}
+    for k in (4, 3, 2, 1):
+        counts[k] = {}
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+        if k > 1:
+            counts[k] |= {g: n for g, n in raw.items() if len(g) == k and g[0] == "\x02"}
+    p: dict[str, float] = {}
+    for k in range(1, 6):
+        c = [sum(n == i for n in counts[k].values()) for i in range(5)]
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] + 2 * c[2] else 0
+        d = [0.0]
+        for i in (1, 2, 3):
+            x = i - (i + 1) * y * c[i + 1] / c[i] if c[i] and c[1] else 0
+            d.append(x if 0 < x <= i else i * 0.5)
+        totals: dict[str, list] = {}
+        for g, n in counts[k].items():
+            t = totals.setdefault(g[:-1], [0, 0])
+            t[0] += n
+            t[1] += min(n, d[min(n, 3)])
+        for g, n in counts[k].items():
+            total, cut = totals[g[:-1]]
+            lower = 1 / (len(counts[1]) + 1) if k == 1 else p.get(g[1:], 1e-9)
+            p[g] = max(n - d[min(n, 3)], 0) / total + cut / total * lower
+    return p
+
+
+def test_quality_against_brute_force(spark):
+    """Perplexities under a plain model, and bands from them; junk of the same words is out, at either side."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdeo"), int(rng.integers(2, 8)))) for _ in range(60)]
+    texts = [" ".join(rng.choice(vocabulary, int(rng.integers(60, 300)))) for _ in range(60)]
+    texts += ["".join(rng.choice(list("qxzjkv#$%& "), 900)), " ".join(f"{vocabulary[0]}{vocabulary[i % 60][:1]}" for i in range(300)), "short", None]
+    df = spark.createDataFrame([(i, t, None if i % 2 else "", "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, lang string, x string, kept string")
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert len(got) == len(texts) and {got[i].lang for i in got if i % 2} == {None} and {got[i].lang for i in got if not i % 2} == {""}
+    for half in (0, 1):
+        own = [i for i in range(len(texts)) if i % 2 == half]
+        p, x = kneser_ney([texts[i] for i in own]), {}
+        for i in own:
+            marked = [f"\x02{w}\x03" for w in (texts[i] or "").split()]
+            logs = [np.log10(p[m[max(0, j - 4) : j + 1]]) for m in marked for j in range(1, len(m))]
+            if logs:
+                x[i] = -np.mean(logs), len(logs)
+                assert np.log10(got[i].perplexity) == pytest.approx(x[i][0], rel=1e-5)
+            else:
+                assert got[i].perplexity is None
+        fit = {i: v for i, v in x.items() if not got[i].base_failed}
+        median = lambda v: sorted(v)[(len(v) + 1) // 2 - 1]
+        middle, n = median([v[0] for v in fit.values()]), median([v[1] for v in fit.values()])
+        spread = max(quality.MIN_SPREAD, median([abs(v[0] - middle) * v[1] ** 0.5 for v in fit.values()]))
+        drift = max(quality.MIN_DRIFT, median([abs(v[0] - middle) for v in fit.values() if v[1] >= n]))
+        for i in own:
+            inside = i in fit and abs(x[i][0] - middle) <= quality.WIDTH * (spread**2 / x[i][1] + drift**2) ** 0.5
+            assert got[i].kept == inside and (got[i].base_failed or got[i].kept == (got[i].low <= got[i].perplexity <= got[i].high))
+    assert not got[60].kept and not got[61].kept and not got[60].base_failed and sum(got[i].kept for i in range(60)) >= 57
+
+
 def test_pii(docs, none):
     got = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
     mail = got[None].text.split()[1]
