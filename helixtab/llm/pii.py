@@ -1,20 +1,25 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 Found: e-mail addresses, telephone, card, social security and IBAN numbers, IPv4 addresses, access tokens, and names
-after a title. Each distinct value gets one surrogate, made from a keyed hash, over the whole table (coreference); two
-values never get the same one, and none gets a value of its kind that the table really holds (collision
-checks; who loses draws again). Surrogates keep what kind of value it is: length, separators and case; the leading
-digit of a card and whether its check digit is right; a name's script and its bearer's gender; the country
+after a title; in texts with such names, also their parts without one. Each distinct value gets one surrogate, made from
+an HMAC under a secret key, over the whole table (coreference); two values never get the same one, and none gets a value of its kind that
+the table really holds (collision checks; who loses draws again, from more values each time where a kind has few).
+Surrogates keep what kind of value it is: length, separators and case; the leading digit of a card and whether its check
+digit is right; the country of an IBAN, with right check digits; a name's script and its bearer's gender; the country
 prefix of a telephone number, whose other spellings get the same digits. Given and family names are values apart, so a
-family name alone is still the same person's.
+family name alone is still the same person's; so are an address's domain and the whole address. A given name's gender is
+that of most of its titles that tell one, so Frau Maria and Dr. Maria are the same.
 
 Nulls: a null text stays null, a null id is an id. Repeated rows come out alike. Texts without a finding pass
-unchanged; empty tables give empty results; extra columns are carried along.
+unchanged; empty tables give empty results; extra columns are carried along, but for one named n_entities, which is
+replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixtab.llm.shared import written
@@ -28,8 +33,8 @@ ENDINGS = {"given_m": {"lat": "rik bert lan tor".split(), "cyr": "слав ми
 
 _NAME = r"\p{Lu}[\p{L}'’-]++"
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?<![0-9A-Za-z_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,128})(?![0-9A-Za-z_])",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})(?![A-Za-z0-9-])",
+    "secret": r"(?<![0-9A-Za-z_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}+|(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}+)(?![0-9A-Za-z_])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{13,19})(?![\w-]|\.\d)",
@@ -41,8 +46,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # What a text with a finding must have; cheap to look for, and most texts have none of it.
 DIGIT_RUN = r"[0-9][0-9 ().-]{5,}[0-9]|[A-Z]{2}[0-9]{2}|[0-9a-f]{32}"
 TITLED = rf"(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))}])(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}"
-#: Draws after which a surrogate may equal a real value (a kind's values may be too few), and after which it is an error.
-REAL_ROUNDS, ROUNDS = 8, 40
+#: Draws after which those from more values begin, and after which it is an error.
+NARROW, ROUNDS = 4, 60
 
 
 def _digits(x: Column) -> Column:
@@ -60,20 +65,26 @@ def kind_of(m: Column) -> Column:
     found = F.when(m.contains("@"), "email")
     for kind in ("secret", "iban", "ssn", "card", "ip", "name"):
         found = found.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
-    return found.otherwise("phone")
+    return found.when(m.rlike(r"^\p{Lu}"), "bare").otherwise("phone")
+
+
+def script_of(x: Column) -> Column:
+    return F.when(x.rlike(r"\p{IsCyrillic}"), "_cyr").otherwise("_lat")
 
 
 def values_of(m: Column) -> Column:
-    """The values a match stands for, as array<struct<kind, norm>>: one, or a name's parts."""
+    """The values a match stands for, as array<struct<kind, norm, gender>>: one, an address and its domain, or a name's
+    parts."""
     kind = kind_of(m)
     parts = F.split(m, " ")
     title = F.regexp_replace(parts[0], r"\.$", "")
-    gender = F.when(title.isin(MALE), "given_m").when(title.isin(FEMALE), "given_f").otherwise("given_n")
+    gender = F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f").otherwise("n")
     names = F.slice(parts, F.lit(2), F.size(parts) - 1)
-    script = lambda x: F.when(x.rlike(r"\p{IsCyrillic}"), "_cyr").otherwise("_lat")
-    named = F.transform(names, lambda x, i: F.struct(F.concat(F.when(i == F.size(names) - 1, "surname").otherwise(gender), script(x)).alias("kind"), F.lower(x).alias("norm")))
+    value = lambda kind, norm, gender="n": F.struct(kind.alias("kind"), norm.alias("norm"), (F.lit(gender) if isinstance(gender, str) else gender).alias("gender"))
+    named = F.transform(names, lambda x, i: value(F.concat(F.when(i == F.size(names) - 1, "surname").otherwise("given"), script_of(x)), F.lower(x), F.when(i == F.size(names) - 1, "n").otherwise(gender)))
     norm = F.when(kind == "email", F.lower(m)).when(kind.isin("ssn", "card"), _digits(m)).when(kind == "phone", F.right(_digits(m), F.lit(10))).when(kind == "iban", F.replace(m, F.lit(" "))).otherwise(m)
-    return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
+    address = F.array(value(kind, norm), value(F.lit("domain"), F.split_part(F.lower(m), F.lit("@"), F.lit(2))))
+    return F.when(kind == "name", named).when(kind == "email", address).otherwise(F.array(value(kind, norm)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -83,46 +94,68 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.filter(backwards, lambda c: c != ""), lambda c, i: twice(c.cast("int"), i)), F.lit(0), lambda a, x: a + x)
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The value that the key draws for a value at an attempt."""
-    seed = F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string"))
-    stream = F.concat(F.sha2(F.concat(seed, F.lit("|0")), 512), F.sha2(F.concat(seed, F.lit("|1")), 512))
+def _ninety_seventh(text: Column) -> Column:
+    """Of digits and capital letters (10 to 35), as the IBAN check has it: the rest after division by 97."""
+    step = lambda rest, c: F.when(c.rlike("[A-Z]"), (rest * 100 + F.ascii(c) - 55) % 97).otherwise((rest * 10 + F.ascii(c) - 48) % 97)
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)
+
+
+def _hmac(key: str, text: Column) -> Column:
+    """HMAC-SHA-512 of a text, in hex."""
+    raw = key.encode()
+    padded = (hashlib.sha512(raw).digest() if len(raw) > 128 else raw).ljust(128, b"\0")
+    inner, outer = (F.lit(bytearray(x ^ pad for x in padded)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 512))), 512)
+
+
+def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, key: str) -> Column:
+    """The value that the key draws for a value at an attempt; from NARROW on, from more values at each."""
+    seed = F.concat_ws("|", kind, norm, attempt.cast("string"))
+    stream = F.concat(_hmac(key, F.concat(seed, F.lit("|0"))), _hmac(key, F.concat(seed, F.lit("|1"))))
+    more = F.greatest(attempt - (NARROW - 1), F.lit(0))
     draw = lambda i: F.conv(F.substr(stream, (i % 85) * 3 + 1, F.lit(3)), 16, 10).cast("int")
-    pick = lambda some, i: F.element_at(F.array(*[F.lit(x) for x in some]), draw(F.lit(i)) % len(some) + 1)
+    pick = lambda some, i: F.element_at(F.array(*[F.lit(x) for x in some]), draw(i if isinstance(i, Column) else F.lit(i)) % len(some) + 1)
     letter = lambda first, i: F.chr((F.lit(ord(first)) + draw(i) % 26).cast("long"))
+    added = F.array_join(F.transform(F.sequence(F.lit(1), more + 1), lambda i: F.when(i <= more, letter("a", i + 60)).otherwise("")), "")
 
     def like(text: Column, at: int = 0) -> Column:
         """Digits for digits (none for a leading zero), letters for letters, the rest as it is."""
         one = lambda c, i: F.when(c.rlike("[0-9]"), F.when((i == 0) & (c != "0"), draw(i + at) % 9 + 1).otherwise(draw(i + at) % 10).cast("string")).when(c.rlike("[a-z]"), letter("a", i + at)).when(c.rlike("[A-Z]"), letter("A", i + at)).otherwise(c)
         return F.array_join(F.transform(F.split(text, ""), one), "")
 
-    host = F.split_part(norm, F.lit("@"), F.lit(2))
-    email = F.concat(like(F.split_part(norm, F.lit("@"), F.lit(1))), F.lit("@"), like(F.split_part(host, F.lit("."), F.lit(1)), 40), F.lit(".example."), pick(["com", "org", "net"], 84))
+    local = F.concat(like(F.split_part(norm, F.lit("@"), F.lit(1))), added)
+    domain = F.concat(like(F.split_part(norm, F.lit("."), F.lit(1)), 40), added, F.lit(".example."), pick(["com", "org", "net"], 84))
     hexed = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.lower(F.hex((draw(i) % 16).cast("long")))), "")
     prefix = F.regexp_extract(norm, r"^(?:AKIA|gh[pousr]_|sk-)", 0)
-    secret = F.when(prefix == "", hexed).otherwise(F.concat(prefix, like(F.substr(norm, F.length(prefix) + 1, F.lit(200)))))
-    octet = lambda o, i: F.when(F.length(o) == 1, draw(i) % 10).when(F.length(o) == 2, draw(i) % 90 + 10).otherwise(draw(i) % 156 + 100).cast("string")
+    secret = F.when(prefix == "", hexed).otherwise(F.concat(prefix, like(F.substr(norm, F.length(prefix) + 1, F.length(norm)))))
+    octet = lambda o, i: F.when(more > 0, draw(i) % 256).when(F.length(o) == 1, draw(i) % 10).when(F.length(o) == 2, draw(i) % 90 + 10).otherwise(draw(i) % 156 + 100).cast("string")
     ip = F.array_join(F.transform(F.split(norm, r"\."), octet), ".")
     body = F.concat(F.left(norm, F.lit(1)), like(F.substr(norm, F.lit(2), F.length(norm) - 2)))
     check = ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     card = F.concat(body, F.when(_luhn(norm) % 10 == 0, check).otherwise(((check.cast("int") + 1 + draw(F.lit(80)) % 9) % 10).cast("string")))
-    iban = F.concat(F.left(norm, F.lit(2)), like(F.substr(norm, F.lit(3), F.length(norm))))
-    made = F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", F.concat(F.lit("9"), like(F.substr(norm, F.lit(2), F.lit(8))))).when(kind == "iban", iban)
-    for part, by_script in ENDINGS.items():
-        for script, ends in by_script.items():
-            made = made.when(kind == f"{part}_{script}", F.concat(pick(SYLLABLES[script], 0), pick(SYLLABLES[script], 1), pick(SYLLABLES[script], 2), pick(ends, 3)))
+    account = like(F.substr(norm, F.lit(5), F.length(norm)))
+    country = F.left(norm, F.lit(2))
+    iban = F.concat(country, F.lpad((98 - _ninety_seventh(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
+    made = F.when(kind == "email", local).when(kind == "domain", domain).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", F.concat(F.lit("9"), like(F.substr(norm, F.lit(2), F.lit(8))))).when(kind == "iban", iban)
+    for script in ("lat", "cyr"):
+        stem = F.array_join(F.transform(F.sequence(F.lit(0), more + 2), lambda i: pick(SYLLABLES[script], i)), "")  # noqa: B023
+        end = lambda what: pick(ENDINGS[what][script], 80)  # noqa: B023, E731
+        made = made.when(kind == f"surname_{script}", F.concat(stem, end("surname")))
+        made = made.when(kind == f"given_{script}", F.concat(stem, F.when(gender == "m", end("given_m")).when(gender == "f", end("given_f")).otherwise(end("given_n"))))
     return made.otherwise(like(norm))
 
 
 def assign(values: DataFrame, key: str) -> DataFrame:
-    """kind, norm, surrogate of distinct (kind, norm): different surrogates for different values of a kind. Each
-    round draws for the values that have none; a draw counts if it is nobody's real value and nobody has it; of
-    several that draw the same in a round the first has it."""
-    values = written(values.distinct(), "pii-values")
+    """kind, norm, surrogate of each distinct (kind, norm) of values with kind, norm, gender: different surrogates for
+    different values of a kind. Each round draws for the values that have none; a draw counts if it is nobody's real
+    value and nobody has it; of several that draw the same in a round the first has it."""
+    told = lambda g: F.sum((F.col("gender") == g).cast("int"))
+    gender = F.when(told("m") > told("f"), "m").when(told("f") > told("m"), "f").otherwise("n")
+    values = written(values.groupBy("kind", "norm").agg(gender.alias("gender")), "pii-values")
     done, left = None, values
     for attempt in range(ROUNDS):
-        drawn = left.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key))
-        free = drawn.join(values.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti") if attempt < REAL_ROUNDS else drawn
+        drawn = left.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("gender"), F.lit(attempt), key))
+        free = drawn.join(values.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         first = free.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"))
@@ -137,7 +170,8 @@ def assign(values: DataFrame, key: str) -> DataFrame:
 def _rendered(m: Column, found: Column) -> Column:
     """The match with its values' surrogates in its own format; found: map of kind|norm to surrogate."""
     kind, values = kind_of(m), values_of(m)
-    got = lambda v: F.coalesce(F.try_element_at(found, F.concat_ws("|", v["kind"], v["norm"])), v["norm"])
+    has = lambda kind, norm: F.try_element_at(found, F.concat_ws("|", kind, norm))
+    got = lambda v: F.coalesce(has(v["kind"], v["norm"]), v["norm"])
     own = got(values[0])
     spare = F.length(_digits(m)) - F.length(own)
     place = lambda i: F.length(_digits(F.left(m, i + 1))) - spare
@@ -146,23 +180,31 @@ def _rendered(m: Column, found: Column) -> Column:
     parts = F.split(m, " ")
     cased = lambda s, like: F.when(F.upper(like) == like, F.upper(s)).otherwise(F.initcap(s))
     name = F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(values, lambda v, i: cased(got(v), F.get(parts, i + 1)))), " ")
-    return F.when(kind == "name", name).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when(kind == "email", F.when(m == F.upper(m), F.upper(own)).otherwise(own)).otherwise(own)
+    bare = cased(F.coalesce(has(F.concat(F.lit("surname"), script_of(m)), F.lower(m)), has(F.concat(F.lit("given"), script_of(m)), F.lower(m)), m), m)
+    address = F.concat(own, F.lit("@"), got(F.get(values, 1)))
+    return F.when(kind == "name", name).when(kind == "bare", bare).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when(kind == "email", F.when(m == F.upper(m), F.upper(address)).otherwise(address)).otherwise(own)
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with surrogates in place of what is found in text; n_entities says how many.
 
     Only texts with findings are joined with their surrogates, on id and a hash of the text; the others pass."""
+    docs = docs.drop("n_entities")
     has = found_in(F.col("text"))
-    keys = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_hash": F.xxhash64("text")}
+    keys = {"_pii_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_pii_hash": F.xxhash64("text")}
     hit = docs.where(has).withColumns(keys)
     matches = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    values = hit.select("_id", "_hash", F.explode(F.array_distinct(F.flatten(F.transform(matches, values_of)))).alias("v")).select("_id", "_hash", "v.kind", "v.norm")
+    values = hit.select(*keys, F.explode(F.flatten(F.transform(matches, values_of))).alias("v")).select(*keys, "v.kind", "v.norm", "v.gender")
     values = written(values.distinct(), "pii-found")
-    given = assign(values.select("kind", "norm"), key)
-    maps = values.join(given, ["kind", "norm"]).groupBy("_id", "_hash").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "surrogate"))).alias("_map"))
-    pieces = F.split("text", ANY, -1)
-    joined = hit.join(maps, ["_id", "_hash"], "left").withColumn("_matches", matches)
-    new = F.array_join(F.zip_with(pieces, F.transform("_matches", lambda m: _rendered(m, F.col("_map"))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    rewritten = joined.withColumn("n_entities", F.size("_matches")).withColumn("text", new).select(*docs.columns, "n_entities")
+    given = assign(values.select("kind", "norm", "gender"), key)
+    own = values.select(*keys, "kind", "norm").distinct().join(given, ["kind", "norm"])
+    maps = own.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "surrogate"))).alias("_pii_map"))
+    # a text's names without their titles, too
+    parts = F.transform(F.filter(F.map_keys("_pii_map"), lambda k: k.rlike(r"^(?:given|surname)_")), lambda k: F.initcap(F.split_part(k, F.lit("|"), F.lit(2))))
+    written_as = F.concat(parts, F.transform(parts, F.upper))
+    pattern = F.when(F.size(parts) > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:\Q"), F.array_join(F.reverse(F.array_sort(written_as)), r"\E|\Q"), F.lit(r"\E)(?!\p{L})"))).otherwise(F.lit(ANY))
+    joined = hit.join(maps, list(keys), "left").withColumn("_pii_pattern", F.coalesce(pattern, F.lit(ANY))).withColumn("_pii_matches", F.regexp_extract_all("text", F.col("_pii_pattern"), F.lit(0)))
+    pieces = F.split("text", F.col("_pii_pattern"), -1)
+    new = F.array_join(F.zip_with(pieces, F.transform("_pii_matches", lambda m: _rendered(m, F.col("_pii_map"))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    rewritten = joined.withColumn("n_entities", F.size("_pii_matches")).withColumn("text", new).select(*docs.columns, "n_entities")
     return rewritten.unionByName(docs.where(~has).withColumn("n_entities", F.lit(0)))

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from helixtab.llm import brown, html, maxscore, mixing, packing, pii, quality, simhash, toxicity, warc
 from helixtab.llm.shared import split_of, written
 
-#: The key of op1's surrogates and the threshold of op8's verdict.
-PII_KEY, TOXIC = "helixtab-corpus-1", 0.7
+#: The threshold of op8's verdict.
+TOXIC = 0.7
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The secret key of surrogates: the setting helixtab.pii.key. Without it, one that everybody knows, for trials."""
+    return spark.conf.get("helixtab.pii.key", "not a secret")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

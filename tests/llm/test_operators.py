@@ -412,7 +412,35 @@ def test_pii(docs, none):
 
 
 def test_surrogates_stay_distinct(spark):
-    """As many values as a quarter of all there are: draws collide and real values are met, but never in the result."""
-    values = [f"{a}.{b}.{c}.7" for a in range(10) for b in range(10) for c in range(10) if (a + b + c) % 4 == 0]
-    got = pii.assign(spark.createDataFrame([("ip", v) for v in values], "kind string, norm string"), "k").collect()
-    assert len(got) == len(values) == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & set(values)
+    """As many values as a quarter of all there are, or all: draws collide and real values are met, but never in the
+    result."""
+    for values in ([f"{a}.{b}.{c}.7" for a in range(10) for b in range(10) for c in range(10) if (a + b + c) % 4 == 0], [f"{a}.1.1.1" for a in range(10)] + [f"1.1.1.{a}" for a in range(10)]):
+        got = pii.assign(spark.createDataFrame([("ip", v, "n") for v in values], "kind string, norm string, gender string"), "k").collect()
+        assert len(got) == len(set(values)) == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & set(values)
+
+
+def test_pii_coreference_format_gender_script(spark):
+    texts = [
+        "Frau Maria Weiss and Dr. Maria Weiss met Herr Karl Weiss. Later Maria Weiss left; Weiss stayed, WEISS too, Weissbier not.",
+        "Господин Иван Петров. Maria is no name here.", "Mr Karl Stone", "DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432",
+        "ab" * 80 + "9 is no secret? " + "a1" * 90, "sk-" + "Ab3" * 40, "x" * 80 + "@Firm.example.de and boss@firm.example.de", "4111 1111 1111 1111",
+    ]
+    df = spark.createDataFrame([(i, t, 1, "m") for i, t in enumerate(texts)], "doc_id long, text string, n_entities int, _map string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(df, "k").collect()}
+    import re
+
+    frau, dr, herr, full, bare, upper = re.fullmatch(r"Frau (\w+ \w+) and Dr\. (\w+ \w+) met Herr (\w+ \w+)\. Later (\w+ \w+) left; (\w+) stayed, (\w+) too, Weissbier not\.", got[0]).groups()
+    assert frau == dr == full and frau.split()[1] == herr.split()[1] == bare and upper == bare.upper() and not {"Maria", "Karl", "Weiss"} & set(got[0].replace(".", "").split())
+    assert frau.split()[0].lower().endswith(tuple(pii.ENDINGS["given_f"]["lat"])) and herr.split()[0].lower().endswith(tuple(pii.ENDINGS["given_m"]["lat"]))
+    assert got[2].split()[1] == herr.split()[0] and got[2].split()[2] != bare
+    assert re.fullmatch(r"Господин [А-Я][а-я]+ [А-Я][а-я]+\. Maria is no name here\.", got[1]) and "Иван" not in got[1]
+    for x, y in zip(texts[3].split(" or "), got[3].split(" or ")):
+        flat = y.replace(" ", "")
+        assert x != y and len(x) == len(y) and x[:2] == y[:2] and [c == " " for c in x] == [c == " " for c in y]
+        assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+    assert "ab" * 20 not in got[4] and "a1" * 20 not in got[4] and len(got[4]) == len(texts[4]) and "Ab3" * 5 not in got[5] and got[5].startswith("sk-") and len(got[5]) == 123
+    long, boss = re.fullmatch(r"(\w+)@(\S+) and (\w+)@\2", got[6]).group(1, 3)
+    assert "x" * 20 not in long and len(long) == 80 and boss != "boss" and "firm" not in got[6].lower()
+    assert got[7] != texts[7] and got[7][0] == "4"
+    again = {r.doc_id: r.text for r in pii.pseudonymise(df, "other").collect()}
+    assert all(again[i] != got[i] for i in got)
