@@ -8,19 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixtab.functions import seq
 from helixtab.operators import anchors as an
+from helixtab.operators import bounds
 from helixtab.operators import costs as co
 from helixtab.operators import edges as ed
 from helixtab.operators import ops as op
 from helixtab.operators import relax, stats
 from helixtab.sources.costs import _rows, load_costs, of_set
 
-#: k-mer length, and the longest gap of an edge (as in the SQL).
-K, GAP = 8, 3
+#: k-mer length, the longest gap of an edge (as in the SQL), and that of an edge in chains.
+K, GAP, CHAIN_GAP = 8, 3, 24
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -193,39 +195,49 @@ def _a6(p):
     return an.anchor_counts(_anchors(p))
 
 
-_EDGE = lambda a, b, cost, on: f"select a.pair_id, a.kind as from_kind, a.x as from_x, a.y as from_y, b.kind as to_kind, b.x as to_x, b.y as to_y, cast({cost} as bigint) as cost from {a} a join {b} b on a.pair_id = b.pair_id and {on}"
-_BOUND = lambda d, e: f"case when abs({d}) = 0 then 0 else 3 + (abs({d}) - 1) * {e} end"
 _PR, _SE = "(select * from anchors where kind = 'P')", "(select * from anchors where kind <> 'P')"
-_J8 = _EDGE(_PR, _PR, _BOUND("(b.x - a.x) - (b.y - a.y)", 1), f"b.x - a.x - {K} between 0 and 3 and b.y - a.y - {K} between 0 and 3") + " union all " + _EDGE(_PR, _PR, "0", "b.x = a.x + 1 and b.y = a.y + 1")
-_J9 = _EDGE(_SE, _SE, _BOUND("(a.x - b.x) - (b.y - a.y)", 2), f"a.kind = b.kind and a.x - {K} - b.x between 0 and 3 and b.y - a.y - {K} between 0 and 3") + " union all " + _EDGE(_SE, _SE, "0", "a.kind = b.kind and b.x = a.x - 1 and b.y = a.y + 1")
-_J10 = _EDGE(_PR, _SE, "2", f"b.y - (case when substr(b.kind, 3, 1) = '1' then a.x else a.y end) - {K} between 0 and 3")
-_J11 = _EDGE(_SE, _PR, "0", f"(case when substr(a.kind, 3, 1) = '1' then b.x else b.y end) - a.y - {K} between 0 and 3")
-_J12 = " union all ".join([f"select pair_id, 'Start' as from_kind, 0 as from_x, 0 as from_y, kind as to_kind, x as to_x, y as to_y, cast({_BOUND('x - y', 1)} as bigint) as cost from {_PR}", f"select pair_id, kind, x, y, 'End', 120, 120, cast({_BOUND('x - y', 1)} as bigint) from {_PR}", "select pair_id, 'Start', 0, 0, 'End', 120, 120, 0 from pairs"])
-
-
-@query("j8_primary_edges", f"with {_KMERS} {_J8}")
+_ROWS = lambda name, columns, rows: f"{name}({columns}) as (values " + ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows) + ")"
+_GAPS = lambda name, n, costs: _ROWS(name, "gap1, gap2, cost", [(a, b, c) for (a, b), c in np.ndenumerate(bounds.gap_costs(n, K, costs)) if c < bounds.NEVER])
+_JUMPS = lambda n: _ROWS("jumps", "gap, cost", list(enumerate(bounds.jump_costs(n, K, bounds.PRIMARY, bounds.SECONDARY))))
+_BOUNDS = ", ".join([_GAPS("pgaps", GAP, bounds.PRIMARY), _GAPS("sgaps", GAP, bounds.SECONDARY), _JUMPS(GAP)])
+_NEXT = lambda a, b, on, cost: f"select a.pair_id, a.kind as from_kind, a.x as from_x, a.y as from_y, b.kind as to_kind, b.x as to_x, b.y as to_y, cast({cost} as bigint) as cost from {a} a join {b} b on a.pair_id = b.pair_id and {on}"
+# equi-joins: each anchor with each gap it may have, and then with what lies there
+_SIDES = "(values ('1'), ('2')) s(side)"
+_ON = lambda c, side: f"(case when {side} = '1' then {c}.x else {c}.y end)"
+_J8 = _NEXT(f"(select c.*, x + {K} + gap1 as at_x, y + {K} + gap2 as at_y, cost from {_PR} c, pgaps)", _PR, "b.x = a.at_x and b.y = a.at_y", "a.cost") + " union all " + _NEXT(_PR, _PR, "b.x = a.x + 1 and b.y = a.y + 1", "0")
+_J9 = _NEXT(f"(select c.*, x - {K} - gap1 as at_x, y + {K} + gap2 as at_y, cost from {_SE} c, sgaps)", _SE, "a.kind = b.kind and b.x = a.at_x and b.y = a.at_y", "a.cost") + " union all " + _NEXT(_SE, _SE, "a.kind = b.kind and b.x = a.x - 1 and b.y = a.y + 1", "0")
+_J10 = _NEXT(f"(select c.*, side, {_ON('c', 'side')} + {K} + gap as at_y, cost from {_PR} c, jumps, {_SIDES})", f"(select *, substr(kind, 3, 1) as side from {_SE})", "b.side = a.side and b.y = a.at_y", "2 + a.cost")
+_J11 = _NEXT(f"(select c.*, substr(kind, 3, 1) as side, y + {K} + gap as at_y, cost from {_SE} c, jumps)", f"(select c.*, side, {_ON('c', 'side')} as start_y from {_PR} c, {_SIDES})", "b.side = a.side and b.start_y = a.at_y", "a.cost")
+_J12 = f"""select pair_id, 'Start' as from_kind, 0 as from_x, 0 as from_y, kind as to_kind, x as to_x, y as to_y, cast(case when x = 0 and y = 0 then 0 else g.cost end as bigint) as cost from {_PR} left join pgaps g on g.gap1 = x and g.gap2 = y where (x = 0 and y = 0) or g.cost is not null
+ union all select pair_id, kind, x, y, 'End', 120, 120, cast(case when x = 120 - {K} and y = 120 - {K} then 0 else g.cost end as bigint) from {_PR} left join pgaps g on g.gap1 = 120 - {K} - x and g.gap2 = 120 - {K} - y where (x = 120 - {K} and y = 120 - {K}) or g.cost is not null
+ union all select pair_id, 'Start', 0, 0, 'End', 120, 120, cast(g.cost as bigint) from pairs join pgaps g on g.gap1 = 120 and g.gap2 = 120
+ union all select pair_id, 'Start', 0, 0, kind, x, y, cast(2 + j.cost as bigint) from {_SE} join jumps j on j.gap = y
+ union all select pair_id, kind, x, y, 'End', 120, 120, cast(j.cost as bigint) from {_SE} join jumps j on j.gap = 120 - {K} - y"""
+
+
+@query("j8_primary_edges", f"with {_KMERS}, {_BOUNDS} {_J8}")
 def _j8(p):
     return ed.primary_edges(_anchors(p), K, GAP)
 
 
-@query("j9_secondary_edges", f"with {_KMERS} {_J9}")
+@query("j9_secondary_edges", f"with {_KMERS}, {_BOUNDS} {_J9}")
 def _j9(p):
     return ed.secondary_edges(_anchors(p), K, GAP)
 
 
-@query("j10_jump12_edges", f"with {_KMERS} {_J10}")
+@query("j10_jump12_edges", f"with {_KMERS}, {_BOUNDS} {_J10}")
 def _j10(p):
     return ed.jump12_edges(_anchors(p), K, of_set(load_costs(p.sparkSession), "bench")["base_cost"], GAP)
 
 
-@query("j11_jump34_edges", f"with {_KMERS} {_J11}")
+@query("j11_jump34_edges", f"with {_KMERS}, {_BOUNDS} {_J11}")
 def _j11(p):
     return ed.jump34_edges(_anchors(p), K, GAP)
 
 
-@query("j12_terminal_edges", f"with {_KMERS} {_J12}")
+@query("j12_terminal_edges", f"with {_KMERS}, {_GAPS('pgaps', 120, bounds.PRIMARY)}, {_JUMPS(120)} {_J12}")
 def _j12(p):
-    return ed.terminal_edges(_anchors(p), p, K)
+    return ed.terminal_edges(_anchors(p), p, K, of_set(load_costs(p.sparkSession), "bench")["base_cost"])
 
 
 @query("j13_block_edges", f"with {_BLOCKS} select a.pair_id, a.r_lo as from_r_lo, a.r_hi as from_r_hi, a.q_lo as from_q_lo, a.q_hi as from_q_hi, b.r_lo as to_r_lo, b.r_hi as to_r_hi, b.q_lo as to_q_lo, b.q_hi as to_q_hi from blocks a join blocks b on a.pair_id = b.pair_id and b.r_lo >= a.r_hi and b.q_lo - a.q_hi between 0 and 30")
@@ -233,21 +245,31 @@ def _j13(p):
     return ed.block_edges(an.block_seeds(p, 10)[0], 30)
 
 
-@query("u2_all_edges", f"with {_KMERS}, e as ({_J8} union all {_J9} union all {_J10} union all {_J11}) select pair_id, from_kind, from_x, from_y, to_kind, to_x, to_y, min(cost) as cost from e group by all")
+@query("u2_all_edges", f"with {_KMERS}, {_BOUNDS}, e as ({_J8} union all {_J9} union all {_J10} union all {_J11}) select pair_id, from_kind, from_x, from_y, to_kind, to_x, to_y, min(cost) as cost from e group by all")
 def _u2(p):
     a = _anchors(p)
     return ed.all_edges(ed.primary_edges(a, K, GAP), ed.secondary_edges(a, K, GAP), ed.jump12_edges(a, K, of_set(load_costs(p.sparkSession), "bench")["base_cost"], GAP), ed.jump34_edges(a, K, GAP))
 
 
-@query("t2_top_successors", f"with {_KMERS}, e as ({_J8}), r as (select *, row_number() over (partition by pair_id, from_kind, from_x, from_y order by cost, to_kind, to_x, to_y) as n, rank() over (partition by pair_id, from_kind, from_x, from_y order by cost) as k from e) select pair_id, from_kind, from_x, from_y, to_kind, to_x, to_y, cost from r where n <= 3 or k = 1")
+@query("t2_top_successors", f"with {_KMERS}, {_BOUNDS}, e as ({_J8}), r as (select *, row_number() over (partition by pair_id, from_kind, from_x, from_y order by cost, to_kind, to_x, to_y) as n, rank() over (partition by pair_id, from_kind, from_x, from_y order by cost) as k from e) select pair_id, from_kind, from_x, from_y, to_kind, to_x, to_y, cost from r where n <= 3 or k = 1")
 def _t2(p):
     return ed.top_successors(ed.primary_edges(_anchors(p), K, GAP), 3)
 
 
+def _chain_edges(p: DataFrame) -> DataFrame:
+    a = relax._kept(_anchors(p))
+    return ed.all_edges(ed.primary_edges(a, K, CHAIN_GAP), ed.diagonal_shortcuts(a), ed.terminal_edges(a, p, K))
+
+
 @query("c6_chain_cost")
 def _c6(p):
-    a = _anchors(p)
-    return relax.chain_anchors(ed.all_edges(ed.primary_edges(a, K, GAP), ed.terminal_edges(a, p, K)))
+    return relax.chain_anchors(_chain_edges(p))
+
+
+@query("c6_c8_chain_links_and_cost_at")
+def _c8(p):
+    links = relax.chain_links(relax.chain_table(_chain_edges(p)))
+    return relax.chain_cost_at(p.select("pair_id", F.explode(F.sequence(F.lit(0), F.lit(120), F.lit(10))).alias("r")).withColumn("q", F.col("r")), links)
 
 
 @query("c1_edit_cost", f"with {_PAIRS} select pair_id, cast(2 * levenshtein(r_seq, q_seq) as bigint) as cost from pairs")

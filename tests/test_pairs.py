@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixtab.functions import seq
-from helixtab.operators import anchors, costs, ops, relax
+from helixtab.operators import anchors, bounds, costs, edges, ops, relax
 from helixtab.operators.api import AlignJob
 from helixtab.queries import ts_ops
 from helixtab.sources.costs import load_costs, of_set
@@ -78,3 +78,48 @@ def test_align_job(spark):
     assert got == {0: ("WithTarget", 3.0), 1: ("WithoutTarget", 5.0)}
     with pytest.raises(ValueError):
         AlignJob(spark, "bench", "somewhere")
+
+
+def test_gap_costs():
+    """Golden matrices: k = 1, 2, and the jumps; F is a gap that no way is over."""
+    far = bounds.NEVER
+    assert bounds.gap_costs(2, 1, (2, 3, 1)).tolist() == [[far, 3, 4], [3, 2, 5], [4, 5, 4]]
+    assert bounds.gap_costs(4, 2, (2, 3, 1)).tolist() == [[far, 3, 4, 5, 6], [3, 2, 3, 4, 5], [4, 3, 2, 3, 4], [5, 4, 3, 2, 5], [6, 5, 4, 5, 4]]
+    six = bounds.gap_costs(6, 3, (2, 3, 1)).tolist()
+    assert six[5] == [7, 6, 5, 4, 3, 2, 5] and six[6] == [8, 7, 6, 5, 4, 5, 4]
+    jumps = bounds.jump_costs(2, 1, (2, 3, 1), (4, 6, 2)).tolist()
+    assert ([2 + x for x in jumps], jumps) == ([2, 4, 6], [0, 2, 4])
+
+
+def test_chains(spark):
+    """Two anchors with a gap between them, lengths that differ, and none at all; against all paths by brute force."""
+    p = pairs(spark, ("ACGTTGCATT", "ACGTAGCATT"), ("ACGTTGCATT", "ACGTTGCATTGG"), ("AAAAAAAA", "CCCCCCCC"))
+    a = anchors.primary_anchors(anchors.kmers(p, 4))
+    found = edges.all_edges(edges.primary_edges(a, 4, 6), edges.diagonal_shortcuts(a), edges.terminal_edges(a, p, 4))
+    rows = found.collect()
+    table = relax.chain_table(found)
+    got = {r.pair_id: r.cost for r in table.where("kind = 'End'").collect()}
+
+    def least(pair, node):
+        if node[0] == "Start":
+            return 0
+        return min((least(pair, (e.from_kind, e.from_x, e.from_y)) + e.cost for e in rows if e.pair_id == pair and (e.to_kind, e.to_x, e.to_y) == node), default=1 << 40)
+
+    assert got == {0: least(0, ("End", 10, 10)), 1: least(1, ("End", 10, 12)), 2: least(2, ("End", 8, 8))} and got[0] == 2 and got[1] == 4 and got[2] == int(bounds.gap_costs(8, 4, (2, 3, 1))[8, 8])
+    links = relax.chain_links(table)
+    mine = sorted((r.link, r.kind, r.cost_to_end) for r in links.where("pair_id = 0").collect())
+    assert mine[0] == (0, "Start", 2) and mine[-1][1:] == ("End", 0)
+    at = relax.chain_cost_at(spark.createDataFrame([(0, 0, 0), (0, 5, 5), (0, 11, 0), (9, 1, 1)], "pair_id long, r int, q int"), links)
+    assert {(r.pair_id, r.r): r.cost_to_end for r in at.collect()} == {(0, 0): 2, (0, 5): 0, (0, 11): 0, (9, 1): 0}
+
+
+def test_chain_with_switch(spark):
+    """A planted inverted copy: the chain through the switch costs the base cost only, and not if its span is out of
+    the limits."""
+    r = "ACCATGCAGTTCGATTACGGCATCCGAA" + "TTGACCTGAAGTCGCCATAA" + "CGTACCAGTCTAGGCTAACTGGATCCATTG"
+    q = r[:28] + r[28:48][::-1].translate(str.maketrans("ACGT", "TGCA")) + r[48:]
+    p = pairs(spark, (r, q))
+    a = relax._kept(anchors.all_anchors(p, 6))
+    base = of_set(load_costs(spark), "bench")["base_cost"]
+    found = edges.all_edges(edges.primary_edges(a, 6, 24), edges.diagonal_shortcuts(a), edges.terminal_edges(a, p, 6, base), edges.secondary_edges(a, 6, 6), edges.jump12_edges(a, 6, base, 6), edges.jump34_edges(a, 6, 6))
+    assert relax.chain_ts(found, 6, 10, 199).first().cost == 2 and relax.chain_ts(found, 6, 100, 199).first().cost > 2
