@@ -5,30 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixtab.functions.seq import default_range
-from helixtab.operators.relax import gap_affine_costs
-from helixtab.operators.stats import apply_cost_limit
+from helixtab.operators.ops import cigar
+from helixtab.operators.stats import alignment_stats, apply_cost_limit
+from helixtab.operators.tables import call_single_ts, gap_affine_align, gap_affine_table
 from helixtab.sources.costs import load_costs, of_set
 
 
 class AlignJob:
-    """Gap-affine costs of pairs under a cost set; giving both a set's name and a path is an error."""
+    """Gap-affine alignments of pairs under a cost set; giving both a set's name and a path is an error."""
 
     def __init__(self, spark: SparkSession, cost_set: str | None = None, costs_path: str | None = None):
         if cost_set and costs_path:
             raise ValueError("give cost_set or costs_path, not both")
-        own = of_set(load_costs(spark), cost_set or "bench") if not costs_path else load_costs(spark, costs_path)
-        s = own["subst"].where("tbl = 'primary' and c1 != c2 and c1 != 'N' and c2 != 'N'").agg(F.min("cost"), F.max("cost")).first()
-        g = own["gaps"].where("tbl = 'primary'").agg(F.min("open"), F.max("open"), F.min("extend"), F.max("extend")).first()
-        if s[0] != s[1] or g[0] != g[1] or g[2] != g[3]:
-            raise ValueError("the primary costs must be uniform")
-        self.subst, self.open, self.extend = s[0], g[0], g[2]
+        self.costs = of_set(load_costs(spark), cost_set or "bench") if not costs_path else load_costs(spark, costs_path)
 
     def run(self, pairs: DataFrame, cost_limit: int | None = None) -> DataFrame:
-        """pair_id, type, status, cost; pairs over the limit are WithoutTarget."""
-        costs = gap_affine_costs(default_range(pairs), self.subst, self.open, self.extend)
-        found = costs.select("pair_id", F.lit("WithTarget").alias("type"), F.lit("FoundTarget").alias("status"), F.col("cost").cast("double"))
-        return found if cost_limit is None else apply_cost_limit(found, cost_limit)
+        """pair_id, type, status, cost; pairs over the limit, and those without a finite cost, are WithoutTarget."""
+        last = gap_affine_table(pairs, self.costs).groupBy("pair_id").agg(F.max_by("cost", F.struct("i", "j")).cast("double").alias("cost"))
+        finite = F.col("cost").isNotNull()
+        found = last.select("pair_id", F.when(finite, "WithTarget").otherwise("WithoutTarget").alias("type"), F.when(finite, "FoundTarget").otherwise("NoTarget").alias("status"), "cost")
+        return found if cost_limit is None else apply_cost_limit(found.where(finite), cost_limit).unionByName(found.where(~finite), allowMissingColumns=True)
+
+    def alignments(self, pairs: DataFrame) -> DataFrame:
+        """Operation rows of an optimal alignment without switches."""
+        return gap_affine_align(pairs, self.costs)
+
+    def switches(self, pairs: DataFrame) -> DataFrame:
+        """The cheapest single switch of each pair, beside the cost without one."""
+        return call_single_ts(pairs, self.costs)
+
+    def cigar(self, pairs: DataFrame) -> DataFrame:
+        return cigar(self.alignments(pairs))
+
+    def stats(self, pairs: DataFrame) -> DataFrame:
+        """Statistics of each pair's result and alignment."""
+        return alignment_stats(self.alignments(pairs), self.run(pairs), pairs)
 
 
 def align_pairs(pairs: DataFrame, **options) -> DataFrame:

@@ -11,6 +11,7 @@ from helixtab.operators.costs import ts_costs
 
 OP = ["op_idx", "n", "kind", "first_offset", "p", "s", "dir", "gap"]
 ENTRANCE, EXIT = "TemplateSwitchEntrance", "TemplateSwitchExit"
+KINDS = [f"{part}{what}" for part in ("Primary", "Secondary") for what in ("Match", "Substitution", "Insertion", "Deletion")] + [ENTRANCE, EXIT]
 
 
 def _along():
@@ -51,6 +52,12 @@ def op_info(ops: DataFrame) -> DataFrame:
     return ops.withColumns({"repeatable": ~ts, "is_entrance": k == ENTRANCE, "is_exit": k == EXIT, "stream_length": F.when(ts, 0).otherwise(1), "dr": F.when(primary & (both | k.endswith("Deletion")), 1).otherwise(0), "dq": F.when(primary & (both | k.endswith("Insertion")), 1).otherwise(0)})
 
 
+def parse_ops(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(operations of a known kind and a count of at least one, the others)."""
+    fine = F.coalesce(F.col("kind").isin(*KINDS) & (F.col("n") >= 1), F.lit(False))
+    return ops.where(fine), ops.where(~fine)
+
+
 def flatten_ops(ops: DataFrame) -> DataFrame:
     """One row for each unit, with op_idx counted anew; entrances and exits are one whatever their count."""
     units = ops.withColumn("_u", F.explode(F.sequence(F.lit(1), F.when(F.col("kind").isin(ENTRANCE, EXIT), 1).otherwise(F.col("n")))))

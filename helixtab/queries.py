@@ -18,7 +18,7 @@ from helixtab.operators import bounds
 from helixtab.operators import costs as co
 from helixtab.operators import edges as ed
 from helixtab.operators import ops as op
-from helixtab.operators import relax, stats
+from helixtab.operators import relax, stats, tables
 from helixtab.sources.costs import _rows, load_costs, of_set
 
 #: k-mer length, the longest gap of an edge (as in the SQL), and that of an edge in chains.
@@ -287,6 +287,41 @@ def _c2a(p):
     return relax.gap_affine_costs(p.withColumns({f"{s}_{e}": F.lit(v) for s in "rq" for e, v in (("start", 50), ("limit", 90))}), 2, 3, 1)
 
 
+def _focus(p: DataFrame) -> DataFrame:
+    return p.withColumns({f"{s}_{e}": F.lit(v) for s in "rq" for e, v in (("start", 50), ("limit", 90))})
+
+
+def _uniform(spark: SparkSession, cost: int) -> dict[str, DataFrame]:
+    """The bench set with one cost for all edits."""
+    own = of_set(load_costs(spark), "bench")
+    same = F.when(F.col("c1") == F.col("c2"), 0).otherwise(cost).cast("bigint")
+    return own | {"subst": own["subst"].withColumn("cost", same), "gaps": own["gaps"].withColumn("open", F.lit(cost).cast("bigint")).withColumn("extend", F.lit(cost).cast("bigint"))}
+
+
+@query("c2_table", f"with {_PAIRS} select pair_id, cast(50 + i as integer) as i, cast(50 + j as integer) as j, cast(2 * levenshtein(substr(r_seq, 51, i), substr(q_seq, 51, j)) as bigint) as cost from pairs, range(0, 41) x(i), range(0, 41) y(j)")
+def _c2t(p):
+    return tables.gap_affine_table(_focus(p), _uniform(p.sparkSession, 2)).select("pair_id", "i", "j", "cost")
+
+
+@query("c2_table_backwards", f"with {_PAIRS} select pair_id, cast(50 + i as integer) as i, cast(50 + j as integer) as j, cast(2 * levenshtein(substr(r_seq, 51 + i, 40 - i), substr(q_seq, 51 + j, 40 - j)) as bigint) as cost from pairs, range(0, 41) x(i), range(0, 41) y(j)")
+def _c2b(p):
+    return tables.gap_affine_table(_focus(p), _uniform(p.sparkSession, 2), backwards=True).select("pair_id", "i", "j", "cost")
+
+
+@query("c3_align", f"with {_PAIRS} select pair_id, cast(2 * levenshtein(substr(r_seq, 51, 40), substr(q_seq, 51, 40)) as bigint) as cost, cast(40 as bigint) as r_length, cast(40 as bigint) as q_length from pairs")
+def _c3(p):
+    """The alignment's edits cost what the table says, and its operations cover both ranges."""
+    n = lambda *kinds: F.sum(F.when(F.col("kind").isin(*[f"Primary{k}" for k in kinds]), F.col("n")).otherwise(0)).cast("bigint")
+    found = tables.gap_affine_align(_focus(p), _uniform(p.sparkSession, 2))
+    return found.groupBy("pair_id").agg((2 * n("Substitution", "Insertion", "Deletion")).alias("cost"), n("Match", "Substitution", "Deletion").alias("r_length"), n("Match", "Substitution", "Insertion").alias("q_length"))
+
+
+@query("c4_single_ts", f"with {_PAIRS} select pair_id, cast(2 as bigint) as ts_cost from pairs")
+def _c4(p):
+    """The planted switch costs the base cost alone, and no switch costs less."""
+    return tables.call_single_ts(_focus(p), of_set(load_costs(p.sparkSession), "bench"), K).select("pair_id", "ts_cost")
+
+
 @query("a4_compact_ops", f"with {_FLAT} select pair_id, op_idx, n, kind from ops")
 def _a4(p):
     return op.compact_ops(flat_ops(p)).select("pair_id", "op_idx", "n", "kind")

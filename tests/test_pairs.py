@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixtab.functions import seq
-from helixtab.operators import anchors, bounds, costs, edges, ops, relax
+from helixtab.operators import anchors, bounds, costs, edges, ops, relax, tables
 from helixtab.operators.api import AlignJob
 from helixtab.queries import ts_ops
 from helixtab.sources.costs import load_costs, of_set
@@ -76,10 +76,21 @@ def test_fasta_and_results(spark, tmp_path):
 def test_align_job(spark):
     got = {r.pair_id: (r.type, r.cost) for r in AlignJob(spark, "bench").run(pairs(spark, ("ACGT", "ACGTT"), ("AAAA", "TTTT")), cost_limit=5).collect()}
     assert got == {0: ("WithTarget", 3.0), 1: ("WithoutTarget", 5.0)}
+    job = AlignJob(spark, "sample")
+    p = pairs(spark, ("ACNGT", "ACTGTT"), ("AA#", "AAA"))
+    assert {r.pair_id: (r.type, r.cost) for r in job.run(p).collect()} == {0: ("WithTarget", 3.0), 1: ("WithoutTarget", None)}
+    assert {r.pair_id: r.cigar for r in job.cigar(p).collect()} == {0: "2=1X2=1I"}
+    assert job.stats(p).first().pair_id == 0
     with pytest.raises(ValueError):
         AlignJob(spark, "bench", "somewhere")
 
 
+def test_parsed_ops(spark):
+    rows = spark.createDataFrame([(1, 0, 3, "PrimaryMatch"), (1, 1, 1, "Nonsense"), (2, 0, 0, "PrimaryDeletion"), (2, 1, 1, None)], "pair_id long, op_idx int, n int, kind string")
+    good, bad = ops.parse_ops(rows)
+    assert [r.kind for r in good.collect()] == ["PrimaryMatch"] and sorted((r.pair_id, r.op_idx) for r in bad.collect()) == [(1, 1), (2, 0), (2, 1)]
+
+
 def test_gap_costs():
     """Golden matrices: k = 1, 2, and the jumps; F is a gap that no way is over."""
     far = bounds.NEVER
@@ -123,3 +134,62 @@ def test_chain_with_switch(spark):
     base = of_set(load_costs(spark), "bench")["base_cost"]
     found = edges.all_edges(edges.primary_edges(a, 6, 24), edges.diagonal_shortcuts(a), edges.terminal_edges(a, p, 6, base), edges.secondary_edges(a, 6, 6), edges.jump12_edges(a, 6, base, 6), edges.jump34_edges(a, 6, 6))
     assert relax.chain_ts(found, 6, 10, 199).first().cost == 2 and relax.chain_ts(found, 6, 100, 199).first().cost > 2
+
+
+def plain_costs(spark, match, subst, open_, extend):
+    own = of_set(load_costs(spark), "bench")
+    cost = F.when(F.col("c1") == F.col("c2"), match).otherwise(subst).cast("bigint")
+    return own | {"subst": own["subst"].withColumn("cost", cost), "gaps": own["gaps"].withColumn("open", F.lit(open_).cast("bigint")).withColumn("extend", F.lit(extend).cast("bigint"))}
+
+
+@pytest.mark.parametrize(("r", "q", "span", "c", "cost", "cigar"), [("ACGT", "ACGTT", None, (0, 2, 3, 1), 3, "4=1I"), ("ACGCCGTGTTCT", "ACGGTGTTAACT", (1, 11), (0, 2, 3, 1), 8, "2=2D5=2I1="), ("AGT", "GTCC", None, (0, 2, 4, 1), 9, "1D2=2I"), ("A" * 20, "T" * 20, None, (0, 3, 3, 1), 44, None), ("", "AC", None, (0, 2, 3, 1), 4, "2I"), ("", "", None, (0, 2, 3, 1), 0, None)])
+def test_alignment(spark, r, q, span, c, cost, cigar):
+    p = pairs(spark, (r, q))
+    if span:
+        p = p.withColumns({f"{s}_{e}": F.lit(v) for s in "rq" for e, v in zip(("start", "limit"), span)})
+    own = plain_costs(spark, *c)
+    last = tables.gap_affine_table(p, own).orderBy(F.desc("i"), F.desc("j")).first()
+    first = tables.gap_affine_table(p, own, backwards=True).orderBy("i", "j").first()
+    assert last.cost == first.cost == cost
+    if cigar:
+        assert ops.cigar(tables.gap_affine_align(p, own)).first().cigar == cigar
+
+
+def test_alignment_by_character(spark):
+    """Costs that differ by character, forwards and backwards, against all alignments by brute force; several pairs of
+    other lengths in one batch."""
+    own = of_set(load_costs(spark), "bench")
+    weight = lambda c: F.ascii(c) % 7
+    own = own | {"subst": own["subst"].withColumn("cost", F.when(F.col("c1") == F.col("c2"), 0).otherwise(weight("c1") + 2 * weight("c2")).cast("bigint")), "gaps": own["gaps"].withColumn("open", (weight("c") + 3).cast("bigint")).withColumn("extend", (weight("c") % 3 + 1).cast("bigint"))}
+    texts = [("ACGTA", "GTTAC"), ("", "ACG"), ("TTGA", "A"), ("GATTACA", "GCATGC")]
+    w = lambda x: ord(x) % 7
+
+    def least(a, b, state=None):
+        if not a and not b:
+            return 0
+        found = []
+        if a and b:
+            found.append((0 if a[0] == b[0] else w(a[0]) + 2 * w(b[0])) + least(a[1:], b[1:]))
+        for x, rest, kind in ((b, (a, b[1:]), "I"), (a, (a[1:], b), "D")):
+            if x:
+                found.append((w(x[0]) % 3 + 1 if state == kind else w(x[0]) + 3) + least(*rest, kind))
+        return min(found)
+
+    p = pairs(spark, *texts)
+    fwd = {(r.pair_id, r.i, r.j): r.cost for r in tables.gap_affine_table(p, own).collect()}
+    bwd = {(r.pair_id, r.i, r.j): r.cost for r in tables.gap_affine_table(p, own, backwards=True).collect()}
+    for k, (a, b) in enumerate(texts):
+        assert all(fwd[k, i, j] == least(a[:i], b[:j]) and bwd[k, i, j] == least(a[i:], b[j:]) for i in range(len(a) + 1) for j in range(len(b) + 1))
+
+
+def test_single_switch(spark):
+    """The planted switch, its points, and a pair without one."""
+    r = "ACCATGCAGTTCGATTACGGCATCCGAA" + "TTGACCTGAAGTCGCCATAA" + "CGTACCAGTCTAGGCTAACTGGATCCATTG"
+    q = r[:48] + r[28:48][::-1].translate(str.maketrans("ACGT", "TGCA")) + r[68:]
+    p = pairs(spark, (r, q), ("ACGT", "ACGA")).withColumns({f"{s}_{e}": F.when(F.col("pair_id") == 0, F.lit(v)).otherwise(o) for s in "rq" for e, v, o in (("start", 40, 0), ("limit", 72, 4))})
+    found = {x.pair_id: x for x in tables.call_single_ts(p, of_set(load_costs(spark), "bench"), 8).collect()}
+    f = found[0]
+    assert f.ts_cost == 2 < f.no_ts_cost and f.sp4_q - f.sp1_q == f.length == f.gap == f.sp4_r - f.sp1_r
+    inner = {"R": r, "Q": q}[f.s][f.sp2 - f.length : f.sp2][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    assert inner == {"R": r, "Q": q}[f.p][f.sp1_q : f.sp4_q] and f.first_offset == f.sp2 - f.sp1_q
+    assert found[1].ts_cost is None and found[1].no_ts_cost == 2
