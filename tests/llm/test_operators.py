@@ -444,3 +444,57 @@ def test_pii_coreference_format_gender_script(spark):
     assert got[7] != texts[7] and got[7][0] == "4"
     again = {r.doc_id: r.text for r in pii.pseudonymise(df, "other").collect()}
     assert all(again[i] != got[i] for i in got)
+
+
+def test_pipeline(spark, tmp_path):
+    """run() against what its stages must decide: toxic rows go, one of each group of near copies stays, personal data
+    is replaced, copies follow the drawn rates, and sequences hold every piece once. Nulls, empty texts, repeated rows
+    and an empty table among the input."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(7)
+    vocabulary = [f"{a}{b}" for a in ("tor", "lim", "ves", "kan", "dol", "fir") for b in ("a", "en", "is", "ut", "om", "ek")]
+    clean = [" ".join(rng.choice(vocabulary, int(rng.integers(30, 90)))) for _ in range(80)]
+    texts = [t + " you moron and idiot" if i % 5 == 0 else t for i, t in enumerate(clean)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, clean[1]), (101, clean[2]), (102, "write to a.person@firm.de"), (103, None), (104, ""), (2, clean[2])]
+    docs = spark.createDataFrame([(i, t, "en", None if i % 7 == 0 else f"s{i % 3}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(80)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {(r.doc_id, r.text) for r in kept.collect()}
+        kept = written(stage(spark, kept, str(tmp_path)), "test")
+        after = [(r.doc_id, r.text) for r in kept.collect()]
+        assert kept.columns == corpus_pipeline.COLUMNS
+        if name == "toxicity":
+            assert set(after) == {(i, t) for i, t in before if not "moron" in (t or "")} and len(after) == len(rows) - 16
+        elif name == "simhash near-dedup":
+            groups: dict[int, int] = {}
+            for i, t in sorted(before, key=lambda r: r[0]):
+                groups.setdefault(next((f for f in groups if bin(f ^ fingerprint(t)).count("1") <= 2), fingerprint(t)), i)
+            assert sorted(i for i, _ in after) == sorted(groups.values())
+        elif name == "pii":
+            changed = {i for i, t in after if (i, t) not in before}
+            assert changed == {102} and "a.person" not in dict(after)[102] and len(after) == len(before)
+        else:
+            rates = {r.source: r.rate for r in mixing.rates(spark.createDataFrame([(i, t, None if i % 7 == 0 else f"s{i % 3}") for i, t in before], "doc_id long, text string, source string")).collect()}
+            for i, t in before:
+                u = int(hashlib.md5(f"42:copies|{i}".encode()).hexdigest()[:13], 16) / 2**52
+                rate = rates[None if i % 7 == 0 else f"s{i % 3}"]
+                p, k = np.exp(-rate), 0
+                below = p
+                while below <= u:
+                    k += 1
+                    p *= rate / k
+                    below += p
+                assert after.count((i, t)) == k
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tokenizer = packing.Encoder(packing.VOCABULARY).tokenizer
+    want = sorted(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in after)
+    assert sorted(r.length for r in got) == want
+    bins: dict[int, list] = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all([o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 1024 for b in bins.values())
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
