@@ -25,13 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixtab.llm.shared import CACHE_ENTRIES, written
+from helixtab.llm.shared import written
 
 SLOTS, LEVELS = 1 << 22, (1, 2, 3, 5)
 #: A slot's least texts and least gain in log likelihood by the label; below it, counts this telling come up by chance.
 MIN_TEXTS, MIN_GAIN = 3, 6.0
 #: Slots of the most texts that are in the machine in any case.
 COMMON = 300
+#: Words whose slots a worker remembers, about 1 kB each.
+WORDS_HELD = 80_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -52,17 +54,17 @@ class Selected(dict):
         super().__init__()
         self.at = None if slots is None else {int(s): i for i, s in enumerate(slots)}
 
-    def __missing__(self, word: str) -> list:
-        if len(self) >= CACHE_ENTRIES:
+    def __missing__(self, word: str) -> tuple:
+        if len(self) >= WORDS_HELD:
             self.clear()
         found = [(t, [(n, s if self.at is None else self.at.get(s)) for n in LEVELS if (s := slot(t, n)) is not None]) for t in terms_of(word)]
-        self[word] = known = [(t, own) for t, levels in found if (own := [x for x in levels if x[1] is not None])]
+        self[word] = known = tuple((t, own) for t, levels in found if (own := tuple(x for x in levels if x[1] is not None)))
         return known
 
     def of(self, text: str) -> list[int]:
         """Positions of the (term, level) pairs of a text: a term that occurs n times is at all levels up to n."""
         counts: dict[int, int] = {}
-        levels: dict[int, list] = {}
+        levels: dict[int, tuple] = {}
         for w, n in Counter(WORD.findall(text.lower())).items():
             for t, own in self[w]:
                 counts[t] = counts.get(t, 0) + n
