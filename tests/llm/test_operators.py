@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from helixtab.llm import brown, html, maxscore, mixing, packing, pii, quality, simhash, toxicity, warc
+from helixtab.llm import brown, html, maxscore, mixing, near_text, packing, pii, quality, simhash, toxicity, warc
 from helixtab.llm.shared import split_of, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string"
@@ -72,6 +72,61 @@ def test_simhash_hot_buckets(spark):
     assert {frozenset(x) for x in got.values()} == {x for x in want if len(x) > 1}
 
 
+def five(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def near_by_hand(rows):
+    """id -> smallest id that links reach, all pairs compared."""
+    sets = [(i, five(t)) for i, t in rows]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+def test_near_texts(spark, docs, none):
+    """Against all pairs: edits of every size around the threshold, exact copies, chains, a crowd of one text's near copies,
+    repeated rows and ids, nulls and empty texts."""
+    rng = np.random.default_rng(3)
+    pool = [f"{a}{b}" for a in ("tor", "lim", "ves", "kan", "dol", "fir", "mun", "sel") for b in ("a", "en", "is", "ut", "om", "ek", "ar", "il")]
+    text = lambda n: [str(x) for x in rng.choice(pool, n)]
+
+    def edit(w, n):
+        w = list(w)
+        for at in rng.integers(0, len(w), n):
+            w[at] = f"new{rng.integers(1000)}"
+        return w
+
+    found = []
+    for n in range(60):
+        base = text(int(rng.integers(20, 400)))
+        found += [base, base] + [edit(base, int(len(base) * s / 45) + e) for s, e in ((0, 1), (0.4, 0), (0.7, 0), (1.5, 0), (3, 1))]
+    crowd = text(200)
+    found += [crowd] + [edit(crowd, 1) for _ in range(150)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(found)] + [(900, None), (901, ""), (902, "Two words"), (903, "two WORDS"), (904, "two others"), (905, LONG), (906, LONG + " end")]
+    got = {r.doc_id: r.component_id for r in near_text.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = near_by_hand(rows)
+    linked = [i for i in want if want[i] != i]
+    assert len(got) == len(rows) and all(want[c] == want[i] for i, c in got.items())
+    assert sum(got[i] != i for i in linked) >= 0.98 * len(linked) and len({got[i] for i in range(420, 571)}) == 1
+    kept = sorted(r.doc_id or 0 for r in near_text.drop_near_texts(docs).collect())
+    assert kept == [0, 1, 3, 5, 7, 8, 9, 10]
+    assert near_text.near_texts(none).count() == 0 and near_text.drop_near_texts(none).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (2, "g h i j k l"), (3, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0) for r in near_text.drop_near_texts(twice).collect()) == [0, 1]
+
+
 def test_brown(docs, none):
     train = docs.where("doc_id is not null")
     counts = written(brown.word_counts(train), "test")
@@ -468,10 +523,7 @@ def test_pipeline(spark, tmp_path):
         if name == "toxicity":
             assert set(after) == {(i, t) for i, t in before if not "moron" in (t or "")} and len(after) == len(rows) - 16
         elif name == "simhash near-dedup":
-            groups: dict[int, int] = {}
-            for i, t in sorted(before, key=lambda r: r[0]):
-                groups.setdefault(next((f for f in groups if bin(f ^ fingerprint(t)).count("1") <= 2), fingerprint(t)), i)
-            assert sorted(i for i, _ in after) == sorted(groups.values())
+            assert sorted(i for i, _ in after) == sorted(set(near_by_hand(before).values()))
         elif name == "pii":
             changed = {i for i, t in after if (i, t) not in before}
             assert changed == {102} and "a.person" not in dict(after)[102] and len(after) == len(before)
