@@ -108,10 +108,14 @@ def _hmac(key: str, text: Column) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 512))), 512)
 
 
-def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, key: str) -> Column:
-    """The value that the key draws for a value at an attempt; from NARROW on, from more values at each."""
+def _stream(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
+    """What the key draws for a value at an attempt, as 256 hex digits."""
     seed = F.concat_ws("|", kind, norm, attempt.cast("string"))
-    stream = F.concat(_hmac(key, F.concat(seed, F.lit("|0"))), _hmac(key, F.concat(seed, F.lit("|1"))))
+    return F.concat(_hmac(key, F.concat(seed, F.lit("|0"))), _hmac(key, F.concat(seed, F.lit("|1"))))
+
+
+def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, stream: Column) -> Column:
+    """The value made from an attempt's stream; from NARROW on, from more values at each."""
     more = F.greatest(attempt - (NARROW - 1), F.lit(0))
     draw = lambda i: F.conv(F.substr(stream, (i % 85) * 3 + 1, F.lit(3)), 16, 10).cast("int")
     pick = lambda some, i: F.element_at(F.array(*[F.lit(x) for x in some]), draw(i if isinstance(i, Column) else F.lit(i)) % len(some) + 1)
@@ -154,7 +158,9 @@ def assign(values: DataFrame, key: str) -> DataFrame:
     values = written(values.groupBy("kind", "norm").agg(gender.alias("gender")), "pii-values")
     done, left = None, values
     for attempt in range(ROUNDS):
-        drawn = left.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("gender"), F.lit(attempt), key))
+        # the stream is a column of its own: a surrogate reads it in hundreds of places
+        streams = left.withColumn("stream", _stream(F.col("kind"), F.col("norm"), F.lit(attempt), key))
+        drawn = streams.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("gender"), F.lit(attempt), F.col("stream"))).drop("stream")
         free = drawn.join(values.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
