@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixtab.llm import brown, html, maxscore, mixing, packing, pii, quality, simhash, toxicity, warc
+from helixtab.llm import brown, divergence, html, maxscore, mixing, packing, periodic, pii, quality, rpforest, simhash, toxicity, warc
 from helixtab.llm.shared import split_of, written
 
 #: The threshold of op8's verdict.
@@ -77,7 +78,31 @@ def op10_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "low", "high")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_surrogates, op2_brown_lm, op3_maxscore_topk, op4_simhash_near_dup, op5_poisson_mix, op6_warc_index, op7_best_two_fit, op8_toxicity_fm, op9_template_text, op10_kn_quality)}
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def planted_repeats(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Of each tenth document, the words from one place on, over and over up to a period (the query's contract)."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.audit(_table(spark, sf_dir, "documents"), planted_repeats)
+
+
+def op13_rp_forest_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rpforest.near_groups(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii_surrogates, op2_brown_lm, op3_maxscore_topk, op4_simhash_near_dup, op5_poisson_mix, op6_warc_index, op7_best_two_fit, op8_toxicity_fm, op9_template_text, op10_kn_quality, op11_divergence_audit, op12_periodic_runs, op13_rp_forest_near_dup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_maxscore_topk": """
@@ -108,4 +133,22 @@ ORACLE_SQL: dict[str, str] = {
                case when n >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
                case when n >= 100 and page_id <> first_id then first_id end as refers_to
         from f""",
+    "op11_divergence_audit": r"""
+        with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+             w as (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+             c as (select lang, source, term, count(*) as n, count(distinct r) as docs from w group by all),
+             k as (select lang, term, sum(n) as n from c group by all having sum(docs) >= 10),
+             v as (select lang, count(*) as v, sum(n) as n from k group by all),
+             g as (select distinct lang, source from d),
+             x as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (cast(1000000000 as hugeint) * (k.n + 2)) // (v.n + 2 * v.v) as q, v.v
+                   from g join k using (lang) join v using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+             p as (select *, 1 + (cast(1000000000 as hugeint) * (n + 2)) // (sum(n) over (partition by lang, source) + 2 * v) as p from x),
+             f as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+                   from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+             parts as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(f.value, 0) as bigint) as value
+                       from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+                       union all select lang, source, 'term', term, cast(((p - q) * (p - q)) // (p + q) as bigint) from p where n > 0 and p > q),
+             ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from parts)
+        select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10""",
 }
