@@ -23,7 +23,7 @@ from helixtab.llm.shared import join_small, written
 from helixtab.llm.simhash import components
 
 #: Trees; the rows of a leaf that isn't split any more; rows that are compared with one another at once.
-TREES, LEAF, BLOCK = 6, 768, 1_024
+TREES, LEAF, BLOCK = 4, 1_024, 2_048
 #: Half the width of the band that goes to both sides, as a share of the largest distance of a link.
 SPILL = 0.05
 #: Vectors that the trees' upper levels are fitted on, and numbers they may hold.
@@ -33,7 +33,8 @@ PROGRESS, TRIES = 0.85, 4
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id, key (a digest of 128 bits), vec (unit vector, doubles), both null for vectors that link with nothing."""
+    """vec_id, key (a digest of the vector, 128 bits), vec (its numbers, in four bytes each if that is exact, else in eight),
+    both null for vectors that link with nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -44,8 +45,9 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
                 if vec_id is None or not 0 < top < np.inf:  # NaN fails, too
                     out.append((vec_id, None, None))
                     continue
-                x = np.trim_zeros(x / top, "b")
-                data = (x / np.linalg.norm(x)).tobytes()
+                x = np.trim_zeros(x, "b")
+                short = x.astype(np.float32) if top < 1e30 else x
+                data = b"f" + short.tobytes() if (short == x).all() and short.dtype == np.float32 else b"d" + x.tobytes()
                 out.append((vec_id, hashlib.blake2b(data, digest_size=16).digest(), data))
             cols = list(zip(*out)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], ["vec_id", "key", "vec"])
@@ -54,12 +56,13 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(data: list[bytes], width: int = 0) -> np.ndarray:
-    """The vectors as rows, filled up with zeros to the longest or to width."""
-    rows = [np.frombuffer(x) for x in data]
-    out = np.zeros((len(rows), max(map(len, rows), default=0) if not width else width))
+    """Unit vectors as rows, in double precision, filled up with zeros to the longest or to width."""
+    rows = [np.frombuffer(x, "f4" if x[:1] == b"f" else "f8", offset=1) for x in data]
+    out = np.zeros((len(rows), width or max(map(len, rows), default=0)))
     for o, r in zip(out, rows):
-        o[: min(len(r), out.shape[1])] = r[: out.shape[1]]
-    return out
+        o[: len(r)] = r
+    out /= np.maximum(np.abs(out).max(1, initial=0, keepdims=True), 1e-323)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-323)
 
 
 def direction(tree: int, node: int, attempt: int, width: int) -> np.ndarray:
@@ -192,8 +195,9 @@ def near_groups(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES,
     units = written(unit_vectors(vectors), "forest-units")
     classes = units.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     classes = written(classes, "forest-classes")
-    rows, width = classes.agg(F.count("*"), F.max(F.length("vec"))).first()
-    width = (width or 0) // 8
+    numbers = (F.length("vec") - 1) / F.when(F.substr("vec", F.lit(1), F.lit(1)) == F.lit(b"f"), 4).otherwise(8)
+    rows, width = classes.agg(F.count("*"), F.max(numbers.cast("int"))).first()
+    width = width or 0
     margin = spill * float(np.sqrt(2 - 2 * threshold))
     drawn = [r["vec"] for r in classes.orderBy("key").limit(min(sample, SAMPLE_NUMBERS // max(width, 1))).select("vec").collect()]
     forest = spark.sparkContext.broadcast(plant(_matrix(drawn, width), rows, margin, trees, leaf, width))
@@ -213,10 +217,10 @@ def near_groups(vectors: DataFrame, threshold: float = 0.9, trees: int = TREES,
     size = own.groupBy("leaf").agg(F.count("*").alias("rows")).where("rows > 1")
     members = join_small(own, written(size, "forest-sizes"), ["leaf"])
     lists = own.groupBy("key").agg(F.array_sort(F.collect_list("leaf")).alias("leaves")).join(classes, "key").join(cores, "key", "left")
-    members = written(members.join(lists, "key"), "forest-members")
+    members = members.join(lists, "key")
     # rows of one core that are many in a leaf lie in blocks of their own, which needn't be compared with one another
     whose = F.when(F.count("core").over(Window.partitionBy("leaf", "core")) > BLOCK, F.col("core")) if not cores.isEmpty() else F.lit(None).cast("long")
-    crowded = members.where(F.col("rows") > BLOCK).withColumn("core_", whose)
+    crowded = written(members.where(F.col("rows") > BLOCK), "forest-members").withColumn("core_", whose)
     blocks = crowded.groupBy("leaf", "core_").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     each = blocks.select("leaf", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct("core_", b.alias("b")))).alias("o")).groupBy("leaf").agg(F.collect_list("o").alias("os"))
     crowded = crowded.join(blocks.select("leaf", F.col("core_").alias("_c"), "blocks"), ["leaf"]).where(F.col("core_").eqNullSafe(F.col("_c"))).join(each, "leaf")
