@@ -28,8 +28,9 @@ TREES, LEAF, BLOCK = 4, 1_024, 2_048
 SPILL = 0.05
 #: Vectors that the trees' upper levels are fitted on, and numbers they may hold.
 SAMPLE, SAMPLE_NUMBERS = 32_768, 1 << 22
-#: A side with more than this share of its node's rows is no progress; directions that are tried for a node.
-PROGRESS, TRIES = 0.85, 4
+#: A side with more than this share of its node's rows is no progress, so crowds as narrow as links are long stay whole;
+#: directions that are tried for a node.
+PROGRESS, TRIES = 0.7, 4
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
