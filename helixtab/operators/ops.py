@@ -101,10 +101,17 @@ def track_coords(ops: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     return rows.drop("_r", "_q", "r_start", "q_start")
 
 
-def track_secondary(flat: DataFrame) -> DataFrame:
+def starts_of(pairs: DataFrame) -> DataFrame | None:
+    """Where the pairs' focus ranges start, if they have any."""
+    if not {"r_start", "q_start"} <= set(pairs.columns):
+        return None
+    return pairs.select("pair_id", *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("r_start", "q_start")])
+
+
+def track_secondary(flat: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Flat operations with s_before and s_after inside template switches: from the secondary sequence's position plus
     first_offset, one to the right (forward) or left (reverse) with each match, substitution and deletion."""
-    rows = track_coords(flat)
+    rows = track_coords(flat, starts)
     start = F.when(F.col("kind") == ENTRANCE, F.when(F.col("s") == "R", F.col("r_before")).otherwise(F.col("q_before")) + F.col("first_offset"))
     at = F.last(start, ignorenulls=True).over(_along().rowsBetween(Window.unboundedPreceding, 0))
     moves = F.when(F.col("kind").startswith("Secondary") & ~F.col("kind").endswith("Insertion"), F.when(F.col("ts_dir") == "R", -1).otherwise(1)).otherwise(0)
@@ -115,10 +122,10 @@ def track_secondary(flat: DataFrame) -> DataFrame:
     return rows.drop("_m", "_start")
 
 
-def switches(ops: DataFrame) -> DataFrame:
+def switches(ops: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """One row for each template switch: its four switch points, length (primary characters inside), gap, difference
     and the CIGAR of its inside."""
-    rows = track_coords(ops).where("ts_p is not null")
+    rows = track_coords(ops, starts).where("ts_p is not null")
     k, inner = F.col("kind"), F.col("kind").startswith("Secondary")
     enter = lambda c: F.max(F.when(k == ENTRANCE, F.col(c)))
     leave = lambda c: F.max(F.when(k == EXIT, F.col(c)))
@@ -138,9 +145,11 @@ def letter(kind: Column) -> Column:
 
 
 def cigar(ops: DataFrame) -> DataFrame:
-    """pair_id, cigar. A switch whose equal-cost range isn't known prints [-]:[-]."""
-    k = F.col("kind")
-    text = F.when(k == ENTRANCE, F.concat(F.lit("[TS"), F.col("p"), F.col("s"), F.col("dir"), F.lit(":[-]:[-]:"), F.col("first_offset").cast("string"), F.lit(":"))).when(k == EXIT, F.concat(F.lit(":"), F.col("gap").cast("string"), F.lit("]"))).otherwise(F.concat(F.col("n").cast("string"), letter(k)))
+    """pair_id, cigar. A switch whose equal-cost range (ecr) isn't known prints [-]:[-]."""
+    k, unknown = F.col("kind"), F.lit("[-]:[-]")
+    part = lambda a, b: F.concat(F.lit("["), F.col(f"ecr.{a}").cast("string"), F.lit(","), F.col(f"ecr.{b}").cast("string"), F.lit("]"))
+    known = F.coalesce(F.concat(part("min_start", "max_start"), F.lit(":"), part("min_end", "max_end")), unknown) if "ecr" in ops.columns else unknown
+    text = F.when(k == ENTRANCE, F.concat(F.lit("[TS"), F.col("p"), F.col("s"), F.col("dir"), F.lit(":"), known, F.lit(":"), F.col("first_offset").cast("string"), F.lit(":"))).when(k == EXIT, F.concat(F.lit(":"), F.col("gap").cast("string"), F.lit("]"))).otherwise(F.concat(F.col("n").cast("string"), letter(k)))
     lists = ops.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("op_idx", text.alias("c")))).alias("x"))
     return lists.select("pair_id", F.array_join(F.transform("x", lambda x: x["c"]), "").alias("cigar"))
 
@@ -152,7 +161,7 @@ def _char(seq: str, at: Column) -> Column:
 def unit_bases(flat: DataFrame, pairs: DataFrame) -> DataFrame:
     """Flat operations with c1, c2: the reference and query character they compare; inside a switch the secondary
     (complemented if reverse) and the primary one."""
-    rows = track_secondary(flat).join(pairs.select("pair_id", "r_seq", "q_seq"), "pair_id")
+    rows = track_secondary(flat, starts_of(pairs)).join(pairs.select("pair_id", "r_seq", "q_seq"), "pair_id")
     outside = F.col("kind").startswith("Primary")
     second_at = F.when(F.col("ts_dir") == "R", F.col("s_before") - 1).otherwise(F.col("s_before"))
     second = F.when(F.col("ts_s") == "R", _char("r_seq", second_at)).otherwise(_char("q_seq", second_at))
@@ -178,7 +187,7 @@ def alignment_cost(ops: DataFrame, pairs: DataFrame, costs: dict[str, DataFrame]
     rows = rows.join(F.broadcast(costs["subst"].select(F.col("tbl").alias("_t"), "c1", "c2", F.col("cost").alias("_s"))), ["_t", "c1", "c2"], "left")
     rows = rows.join(F.broadcast(costs["gaps"].select(F.col("tbl").alias("_t"), F.col("c").alias("_c"), "open", "extend")), ["_t", "_c"], "left")
     each = rows.select("pair_id", F.when(gap, F.when(F.col("_open"), F.col("open")).otherwise(F.col("extend"))).otherwise(F.col("_s")).alias("cost"))
-    ts = ts_costs(switches(ops), costs["base_cost"], costs["step_fn"]).select("pair_id", F.col("ts_cost").alias("cost"))
+    ts = ts_costs(switches(ops, starts_of(pairs)), costs["base_cost"], costs["step_fn"]).select("pair_id", F.col("ts_cost").alias("cost"))
     total = F.when(F.count("*") == F.count("cost"), F.sum("cost"))
     return each.unionByName(ts).groupBy("pair_id").agg(total.alias("cost"))
 
