@@ -1,12 +1,15 @@
-"""Seeds of pairs as equi-joins of k-mer tables. Every join has pair_id in its key; repeats are left to Spark's skew
-handling."""
+"""Seeds of pairs: k-mer tables and their equi-joins on pair_id and k-mer, and the same pair by pair in one pass."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixtab.functions.seq import default_range, revcomp
+from helixtab.functions.seq import ALPHABETS, default_range, revcomp
 
 KINDS = ("P", "S11", "S12", "S21", "S22")
 
@@ -49,16 +52,112 @@ def secondary_anchors(km: DataFrame) -> DataFrame:
     return anc.join(des, ["pair_id", "kmer"]).select("pair_id", F.concat(F.lit("S"), number("a"), number("d")).alias("kind"), "x", "y")
 
 
+def _alphabet_codes(*texts: str) -> tuple[list[np.ndarray], int]:
+    """The texts as numbers from 0, and how many there are."""
+    points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
+    letters, codes = np.unique(np.concatenate(points), return_inverse=True)
+    return np.split(codes.astype(np.int64), np.cumsum([len(p) for p in points])[:-1]), len(letters)
+
+
+def kmer_names(k: int, *texts: str) -> list[np.ndarray]:
+    """Each text's k-mers in order as numbers; equal ones, also of different texts, have equal numbers. Packed into 63 bits
+    where they fit, else named anew with each doubling of their length."""
+    codes, letters = _alphabet_codes(*texts)
+    bits = max((letters - 1).bit_length(), 1)
+    if bits * k < 64:
+        out = []
+        for c in codes:
+            n = len(c) - k + 1
+            name = np.zeros(max(n, 0), np.int64)
+            for i in range(k if n > 0 else 0):
+                name = (name << bits) | c[i : i + n]
+            out.append(name)
+        return out
+    cuts, size, whole = np.cumsum([len(c) for c in codes]), 1, np.concatenate(codes)
+    done, parts = 0, None  # names of the first `done` characters
+    while True:
+        if k & size:
+            shifted = whole[done:] if done else whole
+            parts = shifted if parts is None else np.unique(parts[: len(shifted)] * len(shifted) + shifted[: len(parts)], return_inverse=True)[1]
+            done += size
+        size *= 2
+        if size > k:
+            break
+        whole = np.unique(whole[: -(size // 2)] * len(whole) + whole[size // 2 :], return_inverse=True)[1] if len(whole) > size // 2 else whole[:0]
+    # those that cross from one text to the next are left out
+    return [parts[lo : max(hi - k + 1, lo)] for lo, hi in zip([0, *cuts[:-1]], cuts)]
+
+
+def equal_places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) with a[i] = b[j]: a merge with b in order."""
+    order = np.argsort(b, kind="stable")
+    ordered = b[order]
+    lo, hi = np.searchsorted(ordered, a, "left"), np.searchsorted(ordered, a, "right")
+    n = hi - lo
+    i = np.repeat(np.arange(len(a)), n)
+    return i, order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + lo[i]]
+
+
+_COMPLEMENT = str.maketrans(*ALPHABETS["dna-n"])
+
+
+def anchors_of(r: str, q: str, k: int, ranges: tuple[int, int, int, int], kinds: tuple[str, ...] = KINDS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """kind to (x, y) of a pair's anchors. ranges: r_start, r_limit, q_start, q_limit, which hold for primary and
+    descendant k-mers."""
+    back = [t.translate(_COMPLEMENT)[::-1] for t in (r, q)]
+    names = kmer_names(k, r, q, *back)
+    forward, start = {}, {}
+    for side, name, lo, hi in (("1", names[0], *ranges[:2]), ("2", names[1], *ranges[2:])):
+        start[side] = max(lo, 0)
+        forward[side] = name[start[side] : max(hi - k + 1, start[side])]
+    out = {}
+    for kind in kinds:
+        if kind == "P":
+            x, y = equal_places(forward["1"], forward["2"])
+            out[kind] = x + start["1"], y + start["2"]
+        else:
+            anc = names[2 if kind[1] == "1" else 3]
+            i, y = equal_places(anc, forward[kind[2]])
+            out[kind] = len(r if kind[1] == "1" else q) - i, y + start[kind[2]]
+    return out
+
+
+def pair_anchors(pairs: DataFrame, k: int, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """pair_id, kind, x, y of all anchors, pair by pair and without a shuffle: both sides' k-mers are numbered in one row,
+    and equal ones are found by a merge. The same as joins of kmers(). Pairs with a null sequence have none."""
+    if not 1 <= k <= 64:
+        raise ValueError("k must be from 1 to 64")
+    p = default_range(pairs).where("r_seq is not null and q_seq is not null")
+    rows = p.select("pair_id", "r_seq", "q_seq", *[F.col(c).cast("int").alias(c) for c in ("r_start", "r_limit", "q_start", "q_limit")])
+    id_type = rows.schema["pair_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, kind, xs, ys, held = [], [], [], [], 0
+            for i, (r, q, *ranges) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 7)))):
+                for n, (x, y) in enumerate(anchors_of(r, q, k, tuple(ranges), kinds).values()):
+                    at.append(np.full(len(x), i))
+                    kind.append(np.full(len(x), n))
+                    xs.append(x)
+                    ys.append(y)
+                    held += len(x)
+                if held > 1 << 18 or i == b.num_rows - 1:
+                    names = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(kind), pa.int32()), pa.array(list(kinds))).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(at))), names, pa.array(np.concatenate(xs), pa.int32()), pa.array(np.concatenate(ys), pa.int32())], ["pair_id", "kind", "x", "y"])
+                    at, kind, xs, ys, held = [], [], [], [], 0
+
+    return rows.mapInArrow(run, f"pair_id {id_type}, kind string, x int, y int")
+
+
 def all_anchors(pairs: DataFrame, k: int) -> DataFrame:
-    km = kmers(pairs, k)
-    return primary_anchors(km).unionByName(secondary_anchors(km))
+    return pair_anchors(pairs, k)
 
 
 def ts_seeds(pairs: DataFrame, min_length: int) -> DataFrame:
     """p, s (descendant and ancestor sequence), x, y: where min_length characters are a reverse complement."""
     whole = pairs.select("pair_id", "r_seq", "q_seq")
     name = lambda i: F.when(F.substr("kind", F.lit(i), F.lit(1)) == "1", "R").otherwise("Q")
-    return secondary_anchors(kmers(whole, min_length)).select("pair_id", name(3).alias("p"), name(2).alias("s"), "x", "y")
+    return pair_anchors(whole, min_length, KINDS[1:]).select("pair_id", name(3).alias("p"), name(2).alias("s"), "x", "y")
 
 
 def filter_entrances(cands: DataFrame, seeds: DataFrame, mode: str, min_non_match: int = 0) -> DataFrame:

@@ -1,26 +1,29 @@
-"""Gap-affine tables of focus ranges, alignments from them, and single template switches on top of them.
+"""Gap-affine costs and alignments of focus ranges, and single template switches on top of them.
 
-Pairs are independent, so Spark deals them out and a task fills the tables of many pairs at once: each cell is one
-vector over the pairs of a batch. Costs are by character: an insertion charges the query's, a deletion the reference's;
-the first character of a gap pays open, the others extend. Characters that the cost tables lack cost INFINITE.
+Pairs are independent, so Spark deals them out; a task takes pairs of like shape together and goes through them row by
+row, each row of all of them one vector. Costs are by character: an insertion charges the query's, a deletion the
+reference's; the first character of a gap pays open, the others extend. Characters that the cost tables lack cost
+INFINITE. Pairs with a null sequence have no alignment.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixtab.functions.seq import default_range
-from helixtab.operators.anchors import kmers, secondary_anchors
+from helixtab.operators.anchors import anchors_of
 
-#: Cells of a pair's table; longer focus ranges are refused. Pairs whose tables are filled at once.
-MAX_CELLS, BATCH = 65_536, 128
 INFINITE = 1 << 40
+#: Numbers that a task holds at once for pairs of like shape; half the width that a band has at first.
+HELD, BAND = 1 << 23, 32
+#: Cells of the two tables of a pair's focus range in a search for switches; longer ranges are refused.
+MAX_CELLS = 1 << 26
 
 
 @dataclass
@@ -53,199 +56,436 @@ class Costs:
             out[(x >= lo) & (x < hi)] = cost
         return out
 
+    def shortest(self) -> int:
+        """The shortest length of a switch: the first with a finite cost."""
+        return max(min((lo for lo, _, cost in self.steps["Length"] if cost < INFINITE), default=1), 1)
+
 
 M, I, D = 0, 1, 2
 
 
-def _codes(texts: list[str]) -> np.ndarray:
-    """The texts' characters, a row each, filled up with 0."""
-    out = np.zeros((len(texts), max(map(len, texts), default=0)), np.int64)
+def _codes(texts: list[str], left: int = 0, right: int = 0) -> np.ndarray:
+    """The texts' characters, a row each, with 0 around them."""
+    out = np.zeros((len(texts), left + max(map(len, texts), default=0) + right), np.int64)
     for row, t in zip(out, texts):
-        row[: len(t)] = np.minimum(np.frombuffer(t.encode("utf-32-le"), np.uint32), 127)
+        row[left : left + len(t)] = np.minimum(np.frombuffer(t.encode("utf-32-le"), np.uint32), 127)
     return out
 
 
-def fill(a: list[str], b: list[str], c: Costs, backwards: bool = False) -> np.ndarray:
-    """[i, j, state, pair]. Forwards: least cost of the first i and j characters that ends in a match or substitution,
-    insertion or deletion. Backwards: least cost of the last i and j characters after that state."""
-    if backwards:
-        a, b = [x[::-1] for x in a], [x[::-1] for x in b]
-    ca, cb = _codes(a), _codes(b)
-    n, m = ca.shape[1], cb.shape[1]
-    t = np.full((n + 1, m + 1, 3, len(a)), INFINITE, np.int64)
-    t[0, 0, :] = 0 if backwards else np.array([0, INFINITE, INFINITE])[:, None]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            here, x, y = t[i, j], ca[:, i - 1] if i else None, cb[:, j - 1] if j else None
-            if backwards:
-                if i and j:
-                    here[:] = t[i - 1, j - 1, M] + c.subst[x, y]
-                if j:
-                    after = t[i, j - 1, I]
-                    here[[M, D]] = np.minimum(here[[M, D]], after + c.open[y])
-                    here[I] = np.minimum(here[I], after + c.extend[y])
-                if i:
-                    after = t[i - 1, j, D]
-                    here[[M, I]] = np.minimum(here[[M, I]], after + c.open[x])
-                    here[D] = np.minimum(here[D], after + c.extend[x])
+class Sweep:
+    """Tables of pairs, row by row, on the diagonals j - i from lo to hi, or on all columns where there are no more of
+    them: arrays [state, pair, diagonal or column].
+
+    Forwards: least cost of the first i and j characters that ends in a match or substitution, insertion or deletion.
+    Backwards (texts reversed): least cost of the last i and j characters after that state. In a row, insertions follow
+    one another; as the least of what each may start from, less the sum of extensions so far, they are running minima."""
+
+    def __init__(self, a: list[str], b: list[str], c: Costs, lo: int, hi: int, backwards: bool = False):
+        if backwards:
+            a, b = [x[::-1] for x in a], [x[::-1] for x in b]
+        self.c, self.lo, self.backwards = c, lo, backwards
+        self.n, m = max(map(len, a), default=0), max(map(len, b), default=0)
+        self.slides = hi - lo < m
+        self.width = hi - lo + 1 if self.slides else m + 1
+        if not self.slides:
+            self.lo = lo = 0
+        self.x = _codes(a)
+        pad = max(-lo, 0) + 1
+        self.at = pad + lo  # place of the first column of row 0
+        self.y = _codes(b, pad, max(self.n + hi - m, 0) + 1 if self.slides else 0)
+        place = np.arange(self.y.shape[1]) - pad  # j - 1 of each character
+        sizes = np.array([len(t) for t in b])[:, None]
+        self.open, self.extend = c.open[self.y], np.where((place >= 0) & (place < sizes), c.extend[self.y], 0)
+        self.sums = np.cumsum(self.extend, 1)
+        self.inside = (place >= -1) & (place < sizes)
+
+    def place(self, i: int, j: np.ndarray | int) -> np.ndarray | int:
+        return j - i - self.lo if self.slides else j
+
+    def row(self, i: int, before: np.ndarray | None) -> np.ndarray:
+        c, start = self.c, self.at - 1 + (i if self.slides else 0)
+        s = slice(start, start + self.width)  # the character before each column
+        y, open_, sums = self.y[:, s], self.open[:, s], self.sums[:, s]
+        new = np.full((3, len(self.y), self.width), INFINITE, np.int64)
+        if before is None:
+            if 0 <= -self.lo < self.width:
+                new[:, :, -self.lo] = 0 if self.backwards else np.array([0, INFINITE, INFINITE])[:, None]
+        else:
+            x = self.x[:, i - 1]
+            up = moved = np.full_like(before, INFINITE)
+            if self.slides:
+                up[:, :, :-1], back = before[:, :, 1:], before
+            else:
+                moved[:, :, 1:], up, back = before[:, :, :-1], before, moved
+            corner = c.subst[x[:, None], y]
+            gap, more = c.open[x][:, None], c.extend[x][:, None]
+        if self.backwards:
+            if before is None:
+                base = new[M].copy()
             else:
-                if i and j:
-                    here[M] = t[i - 1, j - 1].min(0) + c.subst[x, y]
-                if j:
-                    left = t[i, j - 1]
-                    here[I] = np.minimum(np.minimum(left[M], left[D]) + c.open[y], left[I] + c.extend[y])
-                if i:
-                    up = t[i - 1, j]
-                    here[D] = np.minimum(np.minimum(up[M], up[I]) + c.open[x], up[D] + c.extend[x])
-    return np.minimum(t, INFINITE)
+                diagonal, opened = back[M] + corner, up[D] + gap
+                base = np.minimum(diagonal, opened)
+            # after an insertion, one more extends it
+            new[I] = np.minimum.accumulate(base - sums, 1) + sums
+            left = np.full_like(base, INFINITE)
+            left[:, 1:] = new[I][:, :-1] + open_[:, 1:]
+            new[M] = np.minimum(base, left)
+            new[D] = new[M] if before is None else np.minimum(np.minimum(diagonal, left), up[D] + more)
+        else:
+            if before is not None:
+                new[M] = back.min(0) + corner
+                new[D] = np.minimum(np.minimum(up[M], up[I]) + gap, up[D] + more)
+            first = np.minimum(new[M], new[D])[:, :-1] + open_[:, 1:] - sums[:, 1:]
+            new[I, :, 1:] = np.minimum.accumulate(first, 1) + sums[:, 1:]
+        outside = ~self.inside[:, s]
+        new[:, outside] = INFINITE
+        return np.minimum(new, INFINITE, out=new)
+
+    def rows(self, start: int = 0, state: np.ndarray | None = None, stop: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        for i in range(start, (self.n if stop is None else stop) + 1):
+            state = self.row(i, state)
+            yield i, state
+
+
+def _shapes(a: list[str], b: list[str], width: Callable[[int, int], int]) -> Iterator[list[int]]:
+    """The pairs in parts of like lengths whose numbers, width(longest a, longest b) a pair, come to no more than HELD."""
+    bits = lambda k: (len(a[k]).bit_length(), len(b[k]).bit_length())
+    part: list[int] = []
+    n = m = 0
+    for k in sorted(range(len(a)), key=bits):
+        n2, m2 = max(n, len(a[k])), max(m, len(b[k]))
+        if part and (bits(k) != bits(part[0]) or (len(part) + 1) * width(n2, m2) > HELD):
+            yield part
+            part, n2, m2 = [], len(a[k]), len(b[k])
+        part, n, m = [*part, k], n2, m2
+    if part:
+        yield part
+
+
+def _beyond(c: Costs, lo: int, hi: int, difference: int) -> int:
+    """Less than any way costs that leaves the diagonals from lo to hi: as many insertions as lead out of them, and
+    deletions back to the last one, or the other way round."""
+    least = int(min(c.open.min(), c.extend.min()))
+    return least * min(2 * (hi + 1) - difference, difference - 2 * (lo - 1)) if least > 0 else 0
+
+
+def solve(a: list[str], b: list[str], c: Costs, trace: bool = False) -> list[tuple[int, list[tuple[int, str]] | None]]:
+    """Each pair's least cost and, if traced, the runs (n, kind) of one cheapest alignment: of equal ways, from the start
+    on, a match or substitution goes before an insertion, that before a deletion. INFINITE: there is none.
+
+    The tables are filled on a band of diagonals. A cost below what any way out of the band costs is the least one; pairs
+    without such a cost are tried again on a wider band, at last on all diagonals. To trace, each so many rows one is
+    kept, and the rows between are filled again from there, from the start of the texts on."""
+    out: list = [None] * len(a)
+    todo, half = list(range(len(a))), BAND
+    while todo:
+        again = []
+        step = lambda n: int(n**0.5) + 1
+        band = lambda n, m: min(m, abs(n - m) + 2 * half) + 1
+        for part in _shapes([a[k] for k in todo], [b[k] for k in todo], lambda n, m: 6 * band(n, m) * (step(n) if trace else 1) + 6 * (n + m)):
+            own = [todo[k] for k in part]
+            sa, sb = [a[k] for k in own], [b[k] for k in own]
+            differences = [len(y) - len(x) for x, y in zip(sa, sb)]
+            lo, hi = max(min(0, *differences) - half, -max(map(len, sa))), min(max(0, *differences) + half, max(map(len, sb)))
+            sweep = Sweep(sa, sb, c, lo, hi, backwards=True)
+            kept, cost = {}, np.full(len(own), INFINITE)
+            for i, t in sweep.rows():
+                for k in range(len(own)):
+                    if len(sa[k]) == i:
+                        cost[k] = t[M, k, sweep.place(i, len(sb[k]))]
+                if trace and i % step(sweep.n) == 0:
+                    kept[i] = t
+            exact = [cost[k] < _beyond(c, lo, hi, d) or not sweep.slides or (lo <= -len(sa[k]) and hi >= len(sb[k])) for k, d in enumerate(differences)]
+            again += [k for k, e in zip(own, exact) if not e]
+            paths = _paths(sweep, kept, step(sweep.n), sa, sb, c, [bool(e and cost[k] < INFINITE) for k, e in enumerate(exact)]) if trace else [None] * len(own)
+            for k, e, v, path in zip(own, exact, cost, paths):
+                if e:
+                    out[k] = int(v), path
+        todo, half = again, half * 8
+    return out
+
+
+def _paths(sweep: Sweep, kept: dict[int, np.ndarray], step: int, a: list[str], b: list[str], c: Costs, wanted: list[bool]) -> list[list[tuple[int, str]]]:
+    """Runs along one cheapest way of each wanted pair, from the last row to the first by blocks of `step` rows."""
+    at = [(len(x), len(y), M) for x, y in zip(a, b)]
+    runs: list[list] = [[] for _ in a]
+
+    def add(k: int, kind: str) -> None:
+        if runs[k] and runs[k][-1][1] == kind:
+            runs[k][-1][0] += 1
+        else:
+            runs[k].append([1, kind])
+
+    for first in sorted(kept, reverse=True):
+        # with the next block's first row, from which the ways come
+        block = {first: kept[first], **dict(sweep.rows(first + 1, kept[first], min(first + step, sweep.n)))}
+        for k in range(len(a)):
+            i, j, state = at[k]
+            table = lambda i, j, s, k=k: int(block[i][s, k, at_]) if 0 <= (at_ := sweep.place(i, j)) < sweep.width else INFINITE
+            while wanted[k] and (i or j) and (i > first or not first):
+                x, y = (min(ord(s[-e]), 127) if e else 0 for s, e in ((a[k], i), (b[k], j)))
+                here = table(i, j, state)
+                if i and j and c.subst[x, y] + table(i - 1, j - 1, M) == here:
+                    i, j, state = i - 1, j - 1, M
+                    add(k, "PrimaryMatch" if a[k][-i - 1] == b[k][-j - 1] else "PrimarySubstitution")
+                elif j and (c.extend if state == I else c.open)[y] + table(i, j - 1, I) == here:
+                    j, state = j - 1, I
+                    add(k, "PrimaryInsertion")
+                else:
+                    i, state = i - 1, D
+                    add(k, "PrimaryDeletion")
+            at[k] = i, j, state
+    return [[(n, kind) for n, kind in r] for r in runs]
 
 
 def _ranges(pairs: DataFrame, *more: str) -> DataFrame:
     """pair_id, a and b (the focus ranges' characters), a_start, b_start, and other columns."""
     p = default_range(pairs)
     cut = lambda s: F.substr(F.col(f"{s}_seq"), F.col(f"{s}_start") + 1, F.col(f"{s}_limit") - F.col(f"{s}_start"))
-    cells = (F.col("r_limit") - F.col("r_start") + 1) * (F.col("q_limit") - F.col("q_start") + 1)
-    fits = F.when(cells > MAX_CELLS, F.raise_error(F.lit("focus range too long: use edit_cost or chains"))).otherwise(F.lit(True))
-    return p.where(fits).select(F.col("pair_id").cast("long"), cut("r").alias("a"), cut("q").alias("b"), F.col("r_start").cast("int").alias("a_start"), F.col("q_start").cast("int").alias("b_start"), *more)
+    return p.select("pair_id", cut("r").alias("a"), cut("q").alias("b"), F.col("r_start").cast("int").alias("a_start"), F.col("q_start").cast("int").alias("b_start"), *more)
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-    for b in batches:
-        for at in range(0, b.num_rows, BATCH):
-            yield b.slice(at, BATCH).to_pydict()
+def _typed(df: DataFrame, schema: str) -> str:
+    """The schema with pair_id in the type that it has in df."""
+    return f"pair_id {df.schema['pair_id'].dataType.simpleString()}, {schema}"
 
 
 def gap_affine_table(pairs: DataFrame, costs: dict[str, DataFrame], backwards: bool = False) -> DataFrame:
     """pair_id, i, j (positions in the sequences), m, ins, del, cost: of every cell of the focus range, the least cost
     from the range's start by last operation, or backwards to its end by the operation before. Null is infinite."""
     c = Costs.of(costs)
+    rows = _ranges(pairs).where("a is not null and b is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for d in _batches(batches):
-            t = fill(d["a"], d["b"], c, backwards)
-            for k, (pair, a, b, a0, b0) in enumerate(zip(d["pair_id"], d["a"], d["b"], d["a_start"], d["b_start"])):
-                own = t[: len(a) + 1, : len(b) + 1, :, k]
-                own = own[::-1, ::-1] if backwards else own
-                i, j = (x.ravel() for x in np.indices(own.shape[:2]))
-                values = [*own.reshape(-1, 3).T, own[..., M].ravel() if backwards else own.min(2).ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), pair)), pa.array((i + a0).astype(np.int32)), pa.array((j + b0).astype(np.int32)), *[pa.array(v, mask=v >= INFINITE) for v in values]], ["pair_id", "i", "j", "m", "ins", "del", "cost"])
-
-    return _ranges(pairs).mapInArrow(run, "pair_id long, i int, j int, m long, ins long, del long, cost long")
-
-
-def traceback(t: np.ndarray, a: str, b: str, c: Costs) -> list[tuple[int, str]]:
-    """Runs (n, kind) of one cheapest alignment by a pair's backward table; of equal ways, from the start on, a match or
-    substitution goes before an insertion, that before a deletion."""
-    i, j, state, kinds = len(a), len(b), M, []  # left of each
-    while i or j:
-        x, y = (min(ord(s[-k]), 127) if k else 0 for s, k in ((a, i), (b, j)))
-        here = t[i, j, state]
-        if i and j and c.subst[x, y] + t[i - 1, j - 1, M] == here:
-            i, j, state = i - 1, j - 1, M
-            kinds.append("PrimaryMatch" if x == y else "PrimarySubstitution")
-        elif j and (c.extend if state == I else c.open)[y] + t[i, j - 1, I] == here:
-            j, state = j - 1, I
-            kinds.append("PrimaryInsertion")
-        else:
-            i, state = i - 1, D
-            kinds.append("PrimaryDeletion")
-    runs: list[list] = []
-    for kind in kinds:
-        if runs and runs[-1][1] == kind:
-            runs[-1][0] += 1
-        else:
-            runs.append([1, kind])
-    return [(n, kind) for n, kind in runs]
-
+        for batch in batches:
+            a, b, a0, b0 = (batch.column(n).to_pylist() for n in ("a", "b", "a_start", "b_start"))
+            for part in _shapes(a, b, lambda n, m: 12 * (n + m + 1)):
+                sa, sb = [a[k] for k in part], [b[k] for k in part]
+                for i, t in Sweep(sa, sb, c, -max(map(len, sa)), max(map(len, sb)), backwards).rows():
+                    for at, k in enumerate(part):
+                        if i <= len(a[k]):
+                            j = np.arange(len(b[k]) + 1)
+                            own = t[:, at, j]
+                            values = [*own, own[M] if backwards else own.min(0)]
+                            here = (len(a[k]) - i, len(b[k]) - j) if backwards else (i, j)
+                            ids = batch.column(0).take(pa.array(np.full(len(j), k)))
+                            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(j), here[0] + a0[k], np.int32)), pa.array((here[1] + b0[k]).astype(np.int32)), *[pa.array(v, mask=v >= INFINITE) for v in values]], ["pair_id", "i", "j", "m", "ins", "del", "cost"])
+
+    return rows.mapInArrow(run, _typed(rows, "i int, j int, m long, ins long, del long, cost long"))
+
+
+def gap_affine_cost(pairs: DataFrame, costs: dict[str, DataFrame]) -> DataFrame:
+    """pair_id, cost: the least cost of the focus ranges without switches, null if there is none."""
+    c = Costs.of(costs)
+    rows = _ranges(pairs)
 
-OPS = "pair_id long, op_idx int, n int, kind string, first_offset int, p string, s string, dir string, gap int"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(n).to_pylist() for n in ("a", "b"))
+            known = [k for k in range(len(a)) if a[k] is not None and b[k] is not None]
+            cost = dict(zip(known, (v for v, _ in solve([a[k] for k in known], [b[k] for k in known], c))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v if (v := cost.get(k, INFINITE)) < INFINITE else None for k in range(len(a))], pa.int64())], ["pair_id", "cost"])
 
+    return rows.mapInArrow(run, _typed(rows, "cost long"))
 
-def gap_affine_align(pairs: DataFrame, costs: dict[str, DataFrame]) -> DataFrame:
-    """Operation rows of one optimal alignment of the focus ranges without switches. Pairs without a finite one, such as
-    of characters that the costs lack, have no rows."""
-    c = Costs.of(costs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for d in _batches(batches):
-            t = fill(d["a"], d["b"], c, backwards=True)
-            rows = [(pair, k, n, kind) for at, (pair, a, b) in enumerate(zip(d["pair_id"], d["a"], d["b"])) if t[len(a), len(b), M, at] < INFINITE for k, (n, kind) in enumerate(traceback(t[..., at], a, b, c))]
-            cols = list(zip(*rows)) or [[]] * 4
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip([*cols, *[[None] * len(rows)] * 5], kinds)], [x.split()[0] for x in OPS.split(", ")])
+OPS = "op_idx int, n int, kind string, first_offset int, p string, s string, dir string, gap int"
+_OP_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32()]
 
-    return _ranges(pairs).mapInArrow(run, OPS)
 
+def op_batch(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (place in ids, op_idx, n, kind, first_offset, p, s, dir, gap) as operations."""
+    cols = list(zip(*rows)) or [[]] * 9
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), *[pa.array(v, t) for v, t in zip(cols[1:], _OP_TYPES)]], ["pair_id", *[x.split()[0] for x in OPS.split(", ")]])
 
-def inverted_runs(pairs: DataFrame, k: int) -> DataFrame:
-    """pair_id, kind, x, y, length: the longest exact inverted repeats of k or more bases; x is the ancestor's right
-    end, y the descendant's left one. Runs of secondary anchors on one antidiagonal."""
-    by = Window.partitionBy("pair_id", "kind", "_d").orderBy("y")
-    found = secondary_anchors(kmers(pairs, k)).withColumn("_d", F.col("x") + F.col("y"))
-    found = found.withColumn("_run", F.col("y") - F.row_number().over(by))
-    return found.groupBy("pair_id", "kind", "_d", "_run").agg(F.max("x").alias("x"), F.min("y").alias("y"), (F.count("*") + (k - 1)).cast("int").alias("length")).select("pair_id", "kind", "x", "y", "length")
 
+def gap_affine_align(pairs: DataFrame, costs: dict[str, DataFrame], table: str = "primary") -> DataFrame:
+    """Operation rows of one optimal alignment of the focus ranges without switches. Pairs without a finite one, such as
+    of characters that the costs lack, have no rows."""
+    c = Costs.of(costs, table)
+    rows = _ranges(pairs).where("a is not null and b is not null")
 
-SWITCH = "pair_id long, ts_cost long, no_ts_cost long, p string, s string, sp1_r int, sp1_q int, sp2 int, sp4_r int, sp4_q int, length int, gap int, first_offset int"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = solve(*(batch.column(n).to_pylist() for n in ("a", "b")), c, trace=True)
+            yield op_batch(batch.column(0), [(k, i, n, kind, *[None] * 5) for k, (cost, path) in enumerate(found) if cost < INFINITE for i, (n, kind) in enumerate(path)])
+
+    return rows.mapInArrow(run, _typed(rows, OPS))
+
+
+def runs_of(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, length) of the longest inverted repeats that secondary anchors of k bases make up: those in a row on one
+    antidiagonal. x is the ancestor's right end, y the descendant's left one."""
+    order = np.lexsort((y, x + y))
+    x, y = x[order], y[order]
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(x + y) != 0) | (np.diff(y) != 1)))[: len(x)])
+    return x[first], y[first], np.diff(np.append(first, len(x))) + k - 1
+
+
+class RangeLeast:
+    """Least numbers of ranges of a vector, from those of ranges of all powers of two."""
+
+    def __init__(self, v: np.ndarray):
+        self.levels, size = [v], 1
+        while 2 * size <= len(v):
+            last = self.levels[-1]
+            self.levels.append(np.minimum(last[:-size], last[size:]))
+            size *= 2
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The least of [lo, hi) for each, INFINITE where that is empty."""
+        out, n = np.full(len(lo), INFINITE), hi - lo
+        level = np.frexp(np.maximum(n, 1))[1] - 1
+        for e in np.unique(level[n > 0]):
+            own = (level == e) & (n > 0)
+            out[own] = np.minimum(self.levels[e][lo[own]], self.levels[e][hi[own] - (1 << e)])
+        return out
 
 
-def best_switch(runs: list[dict], before: np.ndarray, after: np.ndarray, starts: dict[str, int], c: Costs) -> tuple | None:
-    """(cost, descendant, ancestor, SP1, SP2 and SP4 ...) of a pair's cheapest switch whose inner part is without an error.
-    before[i, j]: least cost from the range's start; after[i, j]: to its end. Ways that can't beat the best so far by
-    what is before and after them are passed over."""
+def _gap_pieces(c: Costs, length: int) -> list[tuple[int, int, int]]:
+    """The gap's and the length difference's cost together, as pieces (lo, hi, cost) of the gap, finite ones."""
+    one, two = c.steps["ReverseAntiPrimaryGap"], [(lo + length, hi + length, v) for lo, hi, v in c.steps["LengthDifference"]]
+    both = [(max(a, x), min(b, y), v + w) for a, b, v in one for x, y, w in two]
+    return [(lo, hi, v) for lo, hi, v in both if lo < hi and v < INFINITE]
+
+
+def best_switch(runs: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], before: np.ndarray, after: np.ndarray, starts: dict[str, int], c: Costs, longest: bool = True) -> tuple | None:
+    """(cost, descendant, ancestor, SP1, SP2 and SP4 ..., length, gap, first_offset) of a pair's cheapest switch whose
+    inner part is without an error; of equal ones the longest, if so asked, then the first in the order of descendant,
+    ancestor, SP1, length. before[i, j]: least cost from the range's start; after[i, j]: to its end.
+
+    For a place and a length, the best SP4 for every SP1 is a least number of a range for each piece of the gap's cost.
+    Places and lengths come in the order of what they cost at least, and end once that can't be bettered."""
+    least_len, todo = c.shortest(), []
+    tables = {"R": (before, after), "Q": (before.T, after.T)}
+    low = {p: (f.min(1), b.min(1)) for p, (f, b) in tables.items()}
+    longest_run = max((int(n.max()) for _, _, n in runs.values() if len(n)), default=0)
+    length_cost = c.step("Length", np.arange(longest_run + 1))
+    for kind, (x, y, n) in runs.items():
+        s, p = ("R" if kind[1] == "1" else "Q"), ("R" if kind[2] == "1" else "Q")
+        span = len(low[p][0]) - 1
+        for x1, y1, n1 in zip(x.tolist(), y.tolist(), n.tolist()):
+            skip, length = np.nonzero(np.add.outer(np.arange(n1), np.arange(n1 + 1)) <= n1)
+            d = y1 + skip - starts[p]
+            fits = (length >= least_len) & (d >= 0) & (d + length <= span)
+            skip, length, d = skip[fits], length[fits], d[fits]
+            bound = np.minimum(low[p][0][d] + low[p][1][d + length] + c.base[p, s] + length_cost[length], INFINITE)
+            todo.append(np.stack([bound, np.full(len(d), "QR".index(p)), np.full(len(d), "QR".index(s)), d, length, x1 - skip]))
+    if not todo:
+        return None
+    ways = np.concatenate(todo, 1)
+    ways = ways[:, ways[0] < INFINITE]
+    order = np.lexsort((*ways[5:0:-1], *((-ways[4],) if longest else ()), ways[0]))
     best: tuple | None = None
-    least_len = min((lo for lo, _, cost in c.steps["Length"] if cost < INFINITE), default=INFINITE)
-    todo = []
-    for r in runs:
-        s, p = ("R" if r["kind"][1] == "1" else "Q"), ("R" if r["kind"][2] == "1" else "Q")
-        fwd, bwd = (before, after) if p == "R" else (before.T, after.T)
-        d0, span = starts[p], fwd.shape[0] - 1
-        for skip in range(r["length"] - least_len + 1):
-            d = r["y"] + skip - d0
-            if not 0 <= d <= span:
-                continue
-            for length in range(least_len, r["length"] - skip + 1):
-                if d + length > span:
-                    break
-                todo.append((int(fwd[d].min() + bwd[d + length].min()) + c.base[p, s], p, s, d, length, r["x"] - skip))
-    for bound, p, s, d, length, a in sorted(todo):
-        if best and bound >= best[0]:
+    for bound, p, s, d, length, a in ways[:, order].T.tolist():
+        if best and (bound > best[0] or (bound == best[0] and (not longest or length <= best[8]))):
             break
-        fwd, bwd = (before, after) if p == "R" else (before.T, after.T)
-        other = starts["Q" if p == "R" else "R"]
-        at = np.arange(fwd.shape[1])
+        p, s = "QR"[p], "QR"[s]
+        fwd, bwd = tables[p]
+        other, at = starts["Q" if p == "R" else "R"], np.arange(fwd.shape[1])
         sp1 = at + other if s != p else np.full(len(at), d + starts[p])
         first = fwd[d] + c.step("RRQQOffset" if s == p else "RQQROffset", a - sp1)
-        gap = at[None, :] - at[:, None]
-        total = first[:, None] + bwd[d + length][None, :] + c.step("LengthDifference", gap - length) + c.step("ReverseAntiPrimaryGap", gap) + int(c.step("Length", np.array([length]))[0]) + c.base[p, s]
-        e, f = np.unravel_index(int(total.argmin()), total.shape)
-        if total[e, f] < INFINITE and (best is None or total[e, f] < best[0]):
-            own, their = (d + starts[p], d + length + starts[p]), (int(e) + other, int(f) + other)
+        after_it, pieces = RangeLeast(bwd[d + length]), _gap_pieces(c, length)
+        rest = np.full(len(at), INFINITE)
+        for lo, hi, v in pieces:
+            rest = np.minimum(rest, after_it.of(np.clip(at + lo, 0, len(at)), np.clip(at + hi, 0, len(at))) + v)
+        total = first + rest + length_cost[length] + c.base[p, s]
+        e = int(total.argmin())
+        cost = int(total[e])
+        if cost < INFINITE and (best is None or cost < best[0] or (longest and cost == best[0] and length > best[8])):
+            gaps = np.full(len(at), INFINITE)
+            for lo, hi, v in pieces:
+                gaps[(at - e >= lo) & (at - e < hi)] = v
+            f = int((bwd[d + length] + gaps).argmin())
+            own, their = (d + starts[p], d + length + starts[p]), (e + other, f + other)
             (r1, r4), (q1, q4) = (own, their) if p == "R" else (their, own)
-            best = (int(total[e, f]), p, s, r1, q1, int(a), r4, q4, length, int(f - e), int(a - sp1[e]))
+            best = (cost, p, s, r1, q1, a, r4, q4, length, f - e, int(a - sp1[e]))
     return best
 
 
-def call_single_ts(pairs: DataFrame, costs: dict[str, DataFrame], k: int = 8) -> DataFrame:
+SWITCH = "ts_cost long, no_ts_cost long, p string, s string, sp1_r int, sp1_q int, sp2 int, sp4_r int, sp4_q int, length int, gap int, first_offset int"
+
+
+def _grid(a: list[str], b: list[str], c: Costs, backwards: bool) -> list[np.ndarray]:
+    """Each pair's whole table of least costs from its start (or to its end), [i, j]."""
+    out = [np.full((len(x) + 1, len(y) + 1), INFINITE) for x, y in zip(a, b)]
+    for i, t in Sweep(a, b, c, -max(map(len, a)), max(map(len, b)), backwards).rows():
+        for k, own in enumerate(out):
+            if i < len(own):
+                row = t[M, k] if backwards else t[:, k].min(0)
+                own[i] = row[: own.shape[1]]
+    return [x[::-1, ::-1] for x in out] if backwards else out
+
+
+def _called(batch: pa.RecordBatch, c: Costs, k: int, longest: bool) -> list[tuple]:
+    """Per row of the batch, the switch's columns (nulls without one)."""
+    got = {n: batch.column(n).to_pylist() for n in batch.schema.names[1:]}
+    a, b, out = got["a"], got["b"], [(None,) * 12] * batch.num_rows
+    known = [i for i in range(len(a)) if a[i] is not None and b[i] is not None]
+    if any((len(a[i]) + 1) * (len(b[i]) + 1) > MAX_CELLS for i in known):
+        raise ValueError("focus range too long to search for switches in: give a shorter one")
+    for part in _shapes([a[i] for i in known], [b[i] for i in known], lambda n, m: 2 * (n + 1) * (m + 1) + 6 * (n + m + 1)):
+        own = [known[i] for i in part]
+        sa, sb = [a[i] for i in own], [b[i] for i in own]
+        for i, before, after in zip(own, _grid(sa, sb, c, False), _grid(sa, sb, c, True)):
+            starts = {"R": got["a_start"][i], "Q": got["b_start"][i]}
+            ranges = (starts["R"], starts["R"] + len(a[i]), starts["Q"], starts["Q"] + len(b[i]))
+            found = anchors_of(got["r_seq"][i], got["q_seq"][i], k, ranges, ("S11", "S12", "S21", "S22"))
+            best = best_switch({kind: runs_of(*xy, k) for kind, xy in found.items()}, before, after, starts, c, longest) or (None,) * 11
+            plain = int(before[-1, -1])
+            out[i] = (best[0], plain if plain < INFINITE else None, *best[1:])
+    return out
+
+
+def call_single_ts(pairs: DataFrame, costs: dict[str, DataFrame], k: int | None = None, tie: str = "maximise") -> DataFrame:
     """Of each pair, the cheapest explanation of the focus range with one reverse switch whose inner part is error-free,
-    and the cost without one; ts_cost is null where there is none. The inner part may leave the focus range, SP1 and SP4
-    may not. Inverted repeats come from a join of k-mers; only repeats of k or more bases are seen, so k is at most the
-    shortest length of a switch."""
+    and the cost without one; ts_cost is null where there is none. Of equal ones the longest (maximise), or the first
+    (none). The inner part may leave the focus range, SP1 and SP4 may not.
+
+    Inverted repeats of k or more bases are looked through, all within their pair's task; k is the set's shortest length
+    of a switch unless it is given, and may not be longer than that."""
     c = Costs.of(costs)
-    runs = inverted_runs(pairs, k).groupBy("pair_id").agg(F.collect_list(F.struct("kind", "x", "y", "length")).alias("runs"))
-    rows = _ranges(pairs).join(runs, "pair_id", "left")
+    k = _seed(c, k)
+    rows = _ranges(pairs, "r_seq", "q_seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SWITCH.split(", ")]
         kinds = [pa.string() if x.endswith("string") else pa.int64() if x.endswith("long") else pa.int32() for x in SWITCH.split(", ")]
-        for d in _batches(batches):
-            fwd, bwd, out = fill(d["a"], d["b"], c), fill(d["a"], d["b"], c, backwards=True), []
-            for at, (pair, a, b, a0, b0, found) in enumerate(zip(d["pair_id"], d["a"], d["b"], d["a_start"], d["b_start"], d["runs"])):
-                before = fwd[: len(a) + 1, : len(b) + 1, :, at].min(2)
-                after = bwd[: len(a) + 1, : len(b) + 1, M, at][::-1, ::-1]
-                best = best_switch(found or [], before, after, {"R": a0, "Q": b0}, c) or (None,) * 11
-                plain = int(before[-1, -1])
-                out.append((pair, best[0], plain if plain < INFINITE else None, *best[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names)
-
-    return rows.mapInArrow(run, SWITCH)
+        for batch in batches:
+            cols = list(zip(*_called(batch, c, k, tie == "maximise"))) or [[]] * 12
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, t) for v, t in zip(cols, kinds)]], ["pair_id", *names])
+
+    return rows.mapInArrow(run, _typed(rows, SWITCH))
+
+
+def _seed(c: Costs, k: int | None) -> int:
+    if k is not None and k > c.shortest():
+        raise ValueError(f"switches may be {c.shortest()} long: seeds of {k} would miss them")
+    return min(k or c.shortest(), 64)
+
+
+def align_with_switch(pairs: DataFrame, costs: dict[str, DataFrame], tie: str = "maximise") -> DataFrame:
+    """Operation rows of each pair's cheapest alignment with at most one switch (see call_single_ts): the switch is taken
+    if it costs less than none. Pairs without a finite alignment have no rows."""
+    c = Costs.of(costs)
+    k = _seed(c, None)
+    rows = _ranges(pairs, "r_seq", "q_seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, inner = [], {}  # (row, reference part, query part), in order
+            got = {n: batch.column(n).to_pylist() for n in ("a", "b", "a_start", "b_start")}
+            for i, (ts, plain, p, s, r1, q1, _, r4, q4, length, gap, first) in enumerate(_called(batch, c, k, tie == "maximise")):
+                a, b, a0, b0 = (got[n][i] for n in ("a", "b", "a_start", "b_start"))
+                if ts is not None and (plain is None or ts < plain):
+                    parts += [(i, a[: r1 - a0], b[: q1 - b0]), (i, a[r4 - a0 :], b[q4 - b0 :])]
+                    inner[i] = [(1, "TemplateSwitchEntrance", first, p, s, "R", None), (length, "SecondaryMatch", *[None] * 5), (1, "TemplateSwitchExit", *[None] * 4, gap)]
+                elif plain is not None:
+                    parts.append((i, a, b))
+            ops: dict[int, list[tuple]] = {}
+            for (i, _, _), (_, path) in zip(parts, solve([x[1] for x in parts], [x[2] for x in parts], c, trace=True)):
+                after = i in ops
+                ops.setdefault(i, []).extend([*(inner[i] if after else []), *((n, kind, *[None] * 5) for n, kind in path)])
+            yield op_batch(batch.column(0), [(i, at, *row) for i, found in ops.items() for at, row in enumerate(found)])
+
+    return rows.mapInArrow(run, _typed(rows, OPS))
