@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixtab import tiles
 from helixtab.functions import seq
 from helixtab.operators import anchors as an
 from helixtab.operators import bounds
@@ -21,8 +22,8 @@ from helixtab.operators import ops as op
 from helixtab.operators import relax, stats, tables
 from helixtab.sources.costs import _rows, load_costs, of_set
 
-#: k-mer length, the longest gap of an edge (as in the SQL), and that of an edge in chains.
-K, GAP, CHAIN_GAP = 8, 3, 24
+#: k-mer length, and the longest gap of an edge (as in the SQL).
+K, GAP = 8, 3
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -30,9 +31,9 @@ _PAIRS = """letters as (select doc_id, translate(regexp_replace(lower(text), '[^
 refs as (select doc_id, substr(seq, 1, 120) as r_seq from letters where length(seq) >= 200),
 pairs as (select doc_id as pair_id, r_seq, substr(r_seq, 1, 60) || translate(reverse(substr(r_seq, 41, 20)), 'ACGT', 'TGCA') || substr(r_seq, 81, 40) as q_seq from refs)"""
 _KMERS = f"""{_PAIRS},
-fwd as (select pair_id, side, pos, substr(s, pos + 1, {K}) as kmer from (select pair_id, 'R' as side, r_seq as s, unnest(range(0, 120 - {K} + 1)) as pos from pairs union all select pair_id, 'Q', q_seq, unnest(range(0, 120 - {K} + 1)) from pairs)),
-rc as (select pair_id, side, 120 - i as pos, substr(s, i + 1, {K}) as kmer from (select pair_id, 'R' as side, translate(reverse(r_seq), 'ACGT', 'TGCA') as s, unnest(range(0, 120 - {K} + 1)) as i from pairs union all select pair_id, 'Q', translate(reverse(q_seq), 'ACGT', 'TGCA'), unnest(range(0, 120 - {K} + 1)) from pairs)),
-anchors as (select pair_id, 'P' as kind, a.pos as x, b.pos as y from fwd a join fwd b using (pair_id, kmer) where a.side = 'R' and b.side = 'Q'
+fwd as materialized (select pair_id, side, pos, substr(s, pos + 1, {K}) as kmer from (select pair_id, 'R' as side, r_seq as s, unnest(range(0, 120 - {K} + 1)) as pos from pairs union all select pair_id, 'Q', q_seq, unnest(range(0, 120 - {K} + 1)) from pairs)),
+rc as materialized (select pair_id, side, 120 - i as pos, substr(s, i + 1, {K}) as kmer from (select pair_id, 'R' as side, translate(reverse(r_seq), 'ACGT', 'TGCA') as s, unnest(range(0, 120 - {K} + 1)) as i from pairs union all select pair_id, 'Q', translate(reverse(q_seq), 'ACGT', 'TGCA'), unnest(range(0, 120 - {K} + 1)) from pairs)),
+anchors as materialized (select pair_id, 'P' as kind, a.pos as x, b.pos as y from fwd a join fwd b using (pair_id, kmer) where a.side = 'R' and b.side = 'Q'
  union all select pair_id, 'S' || (case when a.side = 'R' then '1' else '2' end) || (case when b.side = 'R' then '1' else '2' end), a.pos, b.pos from rc a join fwd b using (pair_id, kmer))"""
 _FLAT = f"""{_PAIRS},
 flat as (select pair_id, i as op_idx, case when substr(r_seq, i + 1, 1) = substr(q_seq, i + 1, 1) then 'PrimaryMatch' else 'PrimarySubstitution' end as kind from (select *, unnest(range(0, 120)) as i from pairs)),
@@ -130,12 +131,12 @@ def _j1(p):
 
 @query("j2_primary_anchors", f"with {_KMERS} select * from anchors where kind = 'P'")
 def _j2(p):
-    return an.primary_anchors(an.kmers(p, K))
+    return an.pair_anchors(p, K, ("P",))
 
 
 @query("j3_secondary_anchors", f"with {_KMERS} select * from anchors where kind <> 'P'")
 def _j3(p):
-    return an.secondary_anchors(an.kmers(p, K))
+    return an.pair_anchors(p, K, an.KINDS[1:])
 
 
 @query("u1_all_anchors", f"with {_KMERS} select * from anchors")
@@ -256,22 +257,6 @@ def _t2(p):
     return ed.top_successors(ed.primary_edges(_anchors(p), K, GAP), 3)
 
 
-def _chain_edges(p: DataFrame) -> DataFrame:
-    a = relax._kept(_anchors(p))
-    return ed.all_edges(ed.primary_edges(a, K, CHAIN_GAP), ed.diagonal_shortcuts(a), ed.terminal_edges(a, p, K))
-
-
-@query("c6_chain_cost")
-def _c6(p):
-    return relax.chain_anchors(_chain_edges(p))
-
-
-@query("c6_c8_chain_links_and_cost_at")
-def _c8(p):
-    links = relax.chain_links(relax.chain_table(_chain_edges(p)))
-    return relax.chain_cost_at(p.select("pair_id", F.explode(F.sequence(F.lit(0), F.lit(120), F.lit(10))).alias("r")).withColumn("q", F.col("r")), links)
-
-
 @query("c1_edit_cost", f"with {_PAIRS} select pair_id, cast(2 * levenshtein(r_seq, q_seq) as bigint) as cost from pairs")
 def _c1(p):
     return relax.edit_cost(p, 2)
@@ -319,7 +304,7 @@ def _c3(p):
 @query("c4_single_ts", f"with {_PAIRS} select pair_id, cast(2 as bigint) as ts_cost from pairs")
 def _c4(p):
     """The planted switch costs the base cost alone, and no switch costs less."""
-    return tables.call_single_ts(_focus(p), of_set(load_costs(p.sparkSession), "bench"), K).select("pair_id", "ts_cost")
+    return tables.call_single_ts(_focus(p), of_set(load_costs(p.sparkSession), "bench")).select("pair_id", "ts_cost")
 
 
 @query("a4_compact_ops", f"with {_FLAT} select pair_id, op_idx, n, kind from ops")
@@ -472,3 +457,6 @@ def _j15(p):
 def _j16(p):
     costs = of_set(load_costs(p.sparkSession), "bench")
     return co.ts_costs(op.switches(ts_ops(p)), costs["base_cost"], costs["step_fn"]).select("pair_id", "base_c", "offset_c", "length_c", "difference_c", "gap_c", "ts_cost")
+
+QUERIES |= tiles.QUERIES
+ORACLE_SQL |= tiles.ORACLE_SQL
