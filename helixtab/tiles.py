@@ -1,6 +1,6 @@
 """Queries over pairs of varied lengths that cover all letters of all documents, and the same in SQL where SQL can.
 
-A document's letters, mapped to ACGT, are cut into tiles of 120 to 260 bases, the last one shorter; none is left out. The
+A document's letters, mapped to ACGT, are cut into tiles of 50 to 190 bases, the last one shorter; none is left out. The
 query of a tile has single bases deleted, changed and inserted, and, from 80 bases on, an inverted copy of 18 bases.
 """
 
@@ -22,7 +22,7 @@ from helixtab.sources.fasta import check_records, make_pairs
 
 K, QUERIES, ORACLE_SQL = 10, {}, {}  # type: int, dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]
 
-TILES = """letters as (select doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as s, 120 + 20 * (coalesce(doc_id, 0) % 8) as w from documents),
+TILES = """letters as (select doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as s, 50 + 20 * (coalesce(doc_id, 0) % 8) as w from documents),
 places as (select *, unnest(range(0, cast((length(s) + w - 1) // w as integer))) as t from letters),
 refs as (select coalesce(cast(doc_id as varchar), '') || '/' || t as pair_id, substr(s, cast(t * w + 1 as bigint), w) as r_seq from places),
 near as (select *, regexp_replace(regexp_replace(regexp_replace(r_seq, '([ACGT]{36})[ACGT]', '\\1', 'g'), '([ACGT]{22})A', '\\1C', 'g'), '([ACGT]{52})', '\\1GT', 'g') as m from refs),
@@ -31,7 +31,7 @@ pairs as (select pair_id, r_seq, case when length(m) >= 80 then substr(m, 1, 40)
 
 def tiles_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", letters.alias("s")).where("length(s) > 0").withColumn("w", (120 + 20 * (F.coalesce("doc_id", F.lit(0)) % 8)).cast("int"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", letters.alias("s")).where("length(s) > 0").withColumn("w", (50 + 20 * (F.coalesce("doc_id", F.lit(0)) % 8)).cast("int"))
     cut = docs.withColumn("t", F.explode(F.sequence(F.lit(0), (F.ceil(F.length("s") / F.col("w")) - 1).cast("int"))))
     refs = cut.select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("t").cast("string")).alias("pair_id"), F.substr("s", F.col("t") * F.col("w") + 1, F.col("w")).alias("r_seq"))
     m = F.regexp_replace(F.regexp_replace(F.regexp_replace("r_seq", "([ACGT]{36})[ACGT]", "$1"), "([ACGT]{22})A", "$1C"), "([ACGT]{52})", "$1GT")
