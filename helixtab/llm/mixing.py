@@ -4,7 +4,7 @@ A source's repetition rate is what its target share of the mixture needs over wh
 document's number of copies is a Poisson variable of that mean, got by inverting the distribution at a uniform number
 that comes from a hash of its id, its text and the seed; so the same document gets the same number wherever and
 whenever it is drawn. Copies are put into a global order by another hash, a uniform number too, so a copy's partition is
-known from it: texts are shuffled once, without a sample of the keys before.
+known from it: texts are shuffled once, without a sample of the keys before. Rows without an id are told apart by their texts.
 
 Nulls: a null source is a source, a null text has no characters. Repeated rows get the same number of copies. A source
 without characters, or without weight where weights are given, has rate zero. Empty tables give empty results; extra
@@ -60,16 +60,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     largest = min(top, CHUNK)
     most = math.ceil(largest + 12 * math.sqrt(largest) + 24)
     # null-safe; the rates have a row for each source
-    drawn = join_small(docs, rate, F.col("source").eqNullSafe(F.col("_mix_source")), "left")
+    drawn = join_small(docs, rate, F.col("source").eqNullSafe(F.col("_mix_source")), "left").withColumn("_mix_text", F.md5(F.coalesce("text", F.lit(""))))
     rate_ = F.coalesce("_mix_rate", F.lit(0.0))
     if top > CHUNK:
         parts = F.greatest(F.ceil(rate_ / CHUNK).cast("int"), F.lit(1))
-        part = lambda i: poisson(rate_ / parts, uniform(seed, "copies", "doc_id", more=F.when(i > 1, F.concat(F.lit(":"), i.cast("string"))).otherwise("")), most)
+        part = lambda i: poisson(rate_ / parts, uniform(seed, "copies", "doc_id", "_mix_text", more=F.when(i > 1, F.concat(F.lit(":"), i.cast("string"))).otherwise("")), most)
         n = F.aggregate(F.transform(F.sequence(F.lit(1), parts), part), F.lit(0), lambda a, x: a + x)
     else:
-        n = poisson(rate_, uniform(seed, "copies", "doc_id"), most)
+        n = poisson(rate_, uniform(seed, "copies", "doc_id", "_mix_text"), most)
     copies = drawn.withColumn("_mix_n", n).where("_mix_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1)))
-    out = copies.withColumn("mix_key", uniform(seed, "order", "doc_id", "copy")).select(*docs.columns, "copy", "mix_key")
+    out = copies.withColumn("mix_key", uniform(seed, "order", "doc_id", "copy", "_mix_text")).select(*docs.columns, "copy", "mix_key")
     if not shuffle:
         return out
     places = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -116,15 +116,15 @@ ORACLE_SQL: dict[str, str] = {
         with sizes as (select source, sum(length(coalesce(text, ''))) as chars from documents group by source),
              total as (select sum(chars) as all_chars, sum(cast(chars > 0 as integer)) as all_weight from sizes),
              rates as (select source, case when chars > 0 then 1.0::double * all_chars * 1.0::double / all_weight / chars else 0 end as rate from sizes, total),
-             d as (select doc_id, source, md5(text) as text_md5, rate,
-                          cast(concat('0x', substr(md5('42:copies|' || coalesce(cast(doc_id as varchar), '')), 1, 13)) as bigint) / 4503599627370496.0::double as u
+             d as (select doc_id, source, md5(text) as text_md5, md5(coalesce(text, '')) as told, rate,
+                          cast(concat('0x', substr(md5('42:copies|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(coalesce(text, ''))), 1, 13)) as bigint) / 4503599627370496.0::double as u
                    from documents join rates using (source)),
              terms as (select source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) over (partition by source order by k) as below
                        from rates, range(0, 200) t(k) where rate > 0),
-             n as (select doc_id, source, text_md5, u, (select count(*) from terms t where t.source = d.source and t.below <= d.u) as n from d),
-             c as (select doc_id, source, text_md5, unnest(range(0, n)) as copy from n)
+             n as (select doc_id, source, text_md5, told, u, (select count(*) from terms t where t.source = d.source and t.below <= d.u) as n from d),
+             c as (select doc_id, source, text_md5, told, unnest(range(0, n)) as copy from n)
         select doc_id, source, cast(copy as integer) as copy,
-               cast(concat('0x', substr(md5('42:order|' || coalesce(cast(doc_id as varchar), '') || '|' || copy), 1, 13)) as bigint) / 4503599627370496.0::double as mix_key, text_md5
+               cast(concat('0x', substr(md5('42:order|' || coalesce(cast(doc_id as varchar), '') || '|' || copy || '|' || told), 1, 13)) as bigint) / 4503599627370496.0::double as mix_key, text_md5
         from c""",
     "op6_warc_index": """
         with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as digest from pages),

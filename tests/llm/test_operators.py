@@ -185,12 +185,12 @@ def test_maxscore(spark, monkeypatch):
         assert maxscore.top_k(none, F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_mixing(docs, none):
+def test_mixing(spark, docs, none):
     got = mixing.mix(docs, budget=0.004).collect()
     assert [r.mix_key for r in got] == sorted(r.mix_key for r in got)
     rates = {r.source: r.rate for r in mixing.rates(docs, budget=0.004).collect()}
     for i, t in ROWS:
-        u = int(hashlib.md5(f"42:copies|{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+        u = int(hashlib.md5(f"42:copies|{'' if i is None else i}|{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
         rate = rates[None if i == 7 else f"s{(i or 0) % 3}"]
         p, below, k = np.exp(-rate), np.exp(-rate), 0
         while below <= u:
@@ -199,6 +199,10 @@ def test_mixing(docs, none):
             below += p
         assert sum(r.doc_id == i and r.text == t for r in got) == k * sum(x == (i, t) for x in ROWS)
     assert mixing.mix(none).count() == 0
+    # a source of rows without ids: each text has a number and a place of its own
+    nameless = spark.createDataFrame([(None, f"text {i}", "en", "s", 6, "x") for i in range(400)], DOCS)
+    drawn = mixing.mix(nameless, shuffle=False).collect()
+    assert 300 < len(drawn) < 500 and len({r.mix_key for r in drawn}) == len(drawn) and len({r.copy for r in drawn}) > 2
     only = mixing.mix(docs, weights={"s1": 1.0}, shuffle=False).groupBy("source", "doc_id").count().collect()
     rate = next(r.rate for r in mixing.rates(docs, {"s1": 1.0}).collect() if r.source == "s1")
     assert {r.source for r in only} == {"s1"} and rate > mixing.CHUNK and all(abs(r["count"] - rate) < 6 * rate**0.5 for r in only)
@@ -530,7 +534,7 @@ def test_pipeline(spark, tmp_path):
         else:
             rates = {r.source: r.rate for r in mixing.rates(spark.createDataFrame([(i, t, None if i % 7 == 0 else f"s{i % 3}") for i, t in before], "doc_id long, text string, source string")).collect()}
             for i, t in before:
-                u = int(hashlib.md5(f"42:copies|{i}".encode()).hexdigest()[:13], 16) / 2**52
+                u = int(hashlib.md5(f"42:copies|{i}|{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
                 rate = rates[None if i % 7 == 0 else f"s{i % 3}"]
                 p, k = np.exp(-rate), 0
                 below = p
