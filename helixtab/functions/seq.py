@@ -51,7 +51,8 @@ def embedded_range(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def explicit_range(pairs: DataFrame, spec_col: str) -> tuple[DataFrame, DataFrame]:
     """Ranges from a text such as R40..75Q41..75 (either part may be missing), else from r_start .. q_limit, else the
-    whole sequences. Rejected: both forms for one side, or a text of another form."""
+    whole sequences. Rejected: both forms for one side, a text of another form, a start after its limit, and ranges that
+    leave their sequence."""
     spec = F.coalesce(F.col(spec_col), F.lit(""))
     good = spec.rlike(r"^\s*(?:R\s*\d+\.\.\d+)?\s*(?:Q\s*\d+\.\.\d+)?\s*$")
     new = {}
@@ -60,6 +61,8 @@ def explicit_range(pairs: DataFrame, spec_col: str) -> tuple[DataFrame, DataFram
         own = F.col(f"{s}_start").isNotNull() | F.col(f"{s}_limit").isNotNull()
         good = good & ~(own & part[0].isNotNull())
         new |= {f"{s}_start": F.coalesce(part[0], F.col(f"{s}_start"), F.lit(0)), f"{s}_limit": F.coalesce(part[1], F.col(f"{s}_limit"), F.length(f"{s}_seq"))}
+        start, limit = new[f"{s}_start"], new[f"{s}_limit"]
+        good = good & F.coalesce((start >= 0) & (start <= limit) & (limit <= F.length(f"{s}_seq")), F.lit(False))
     return pairs.where(good).withColumns(new), pairs.where(~good)
 
 

@@ -45,6 +45,14 @@ def test_ranges(spark):
     assert [x.pair_id for x in bad.collect()] == [1]
 
 
+def test_explicit_ranges(spark):
+    rows = [("R1..3Q0..2", None), ("R3..1", None), ("Q0..5", None), ("R1..2", 1), ("nonsense", None), (None, 2), (None, 9), ("R4..4", None)]
+    df = spark.createDataFrame([(i, "ACGT", "AC", s, v) for i, (s, v) in enumerate(rows)], "pair_id int, r_seq string, q_seq string, spec string, r_start int").withColumns({c: F.lit(None).cast("int") for c in ("r_limit", "q_start", "q_limit")})
+    good, bad = seq.explicit_range(df, "spec")
+    assert {r.pair_id: (r.r_start, r.r_limit, r.q_start, r.q_limit) for r in good.collect()} == {0: (1, 3, 0, 2), 5: (2, 4, 0, 2), 7: (4, 4, 0, 2)}
+    assert {r.pair_id for r in bad.collect()} == {1, 2, 3, 4, 6}
+
+
 def test_switch_costs_and_cigar(spark):
     r = "ACGT" * 10 + "AACCGGTTACGATCGATTAC" + "GGGGGCCCCCAAAAATTTTT" + "ACGT" * 10
     q = r[:60] + r[40:60][::-1].translate(str.maketrans("ACGT", "TGCA")) + r[80:]
