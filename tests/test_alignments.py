@@ -203,6 +203,35 @@ def test_fasta_to_cigar(spark, tmp_path):
     assert {x.pair_id: x.type for x in align_pairs(p, cost_set="sample", no_ts=True, cost_limit=3).collect()} == {"a": "WithoutTarget", "b": "WithTarget"}
 
 
+def test_fasta_in_splits(spark, tmp_path):
+    """One file over many tasks gives the records in its order; all line ends; what is before the first record."""
+    rng = random.Random(14)
+    want = [(f"id{i}", f"of {i}" if i % 3 else "", "".join(rng.choices("ACGT>", k=rng.randrange(200)))) for i in range(400)]
+    want = [(a, b, c.lstrip(">")) for a, b, c in want]
+    text = "".join(f">{a} {b}\n" + "\n".join(c[k : k + 60].lstrip(">") if k else c[:60] for k in range(0, len(c), 60)) + "\n" for a, b, c in want)
+    want = [(a, b, c[:60] + "".join(c[k : k + 60].lstrip(">") for k in range(60, len(c), 60))) for a, b, c in want]
+    (tmp_path / "many").mkdir()
+    for name, end in (("n", "\n"), ("rn", "\r\n"), ("r", "\r")):
+        (tmp_path / "many" / f"{name}.fa").write_bytes(("  \n" if name == "rn" else "").encode() + text.replace("\n", end).encode())
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        found = read_fasta(spark, str(tmp_path / "many"))
+        assert spark.read.option("lineSep", "\n>").text(str(tmp_path / "many")).rdd.getNumPartitions() > 10
+        got: dict[str, list] = {}
+        for r in found.collect():
+            got.setdefault(r.file.rpartition("/")[2], []).append((r.rec_idx, r.id, r.comment, r.seq))
+        assert set(got) == {"n.fa", "rn.fa", "r.fa"}
+        for rows in got.values():
+            assert [x[0] for x in sorted(rows)] == list(range(400)) and [tuple(x[1:]) for x in sorted(rows)] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.fa").write_text("hello\n>a\nACGT\n")
+    with pytest.raises(Exception, match="before the first record"):
+        read_fasta(spark, str(tmp_path / "bad")).collect()
+
+
 def test_null_and_empty_sequences(spark):
     p = spark.createDataFrame([("n", None, "ACGT"), ("e", "", ""), ("g", "", "AC"), ("b", "ACGT", None), ("clash", "A", "A")], "pair_id string, r_seq string, q_seq string").withColumn("a", F.lit("x"))
     for no_ts in (False, True):
