@@ -11,7 +11,7 @@ from math import floor
 import numpy as np
 import pytest
 
-from helixtab.llm import divergence, periodic, rpforest
+from helixtab.llm import divergence, near_text, periodic, rpforest
 from helixtab.llm.queries import planted_repeats
 
 DOCS = "doc_id long, text string, lang string, source string, term string, n_terms int"
@@ -195,3 +195,35 @@ def test_forest_edge_cases(spark):
     want = [(5, 3, 3), (3, 3, 3), (9, 3, 3), (9, 3, 3), *[(i, 0, i) for i in (1, 2, 4, 6, 7, 8)], (None, 0, None), (10, 1, 10), (11, 1, 10), (12, 1, 12), (13, 1, 12), (12, 1, 12), (14, 1, 12)]
     assert got == Counter(want)
     assert rpforest.near_groups(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_near_texts_find_cut_and_replaced_blocks(spark):
+    """One block cut off at either end, put in or replaced, at similarities of 0.80 to 0.85 and 0.85 to 0.90: of the pairs that
+    are alike by hand at least 0.95 of each kind are linked, and none that isn't. Texts of eight to twelve words, too."""
+    rng = np.random.default_rng(11)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+    rows, pairs = [], {}
+    kinds = {"tail": (lambda w, k: w[: len(w) - k], 0.20, 0.12), "head": (lambda w, k: w[k:], 0.20, 0.12), "replaced": (lambda w, k: w[:50] + text(k) + w[50 + k :], 0.11, 0.07), "put in": (lambda w, k: w[:70] + text(k) + w[70:], 0.25, 0.15)}
+    for kind, (edit, *shares) in kinds.items():
+        for share in shares:
+            for _ in range(60):
+                base = text(int(rng.integers(150, 500)))
+                other = edit(base, max(int(len(base) * share * rng.uniform(0.8, 1)) - 5, 1))
+                a, b = sets(base), sets(other)
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+                pairs[len(rows) - 2] = (kind, share, 5 * len(a & b) >= 4 * len(a | b))
+    for n in range(9, 13):
+        for _ in range(15):
+            base = text(n)
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[:-1]))]
+            pairs[len(rows) - 2] = ("short", n, 5 * (n - 5) >= 4 * (n - 4))
+    got = {r.doc_id: r.component_id for r in near_text.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found: dict[tuple, list[bool]] = {}
+    for i, (kind, share, near) in pairs.items():
+        linked = got[i + 1] == i
+        assert near or not linked
+        if near:
+            found.setdefault(kind if kind == "short" else (kind, share), []).append(linked)
+    print({k: (sum(v), len(v)) for k, v in found.items()})
+    assert len(found) == 9 and all(sum(v) >= (0.9 if k == "short" else 0.95) * len(v) and len(v) >= 30 for k, v in found.items())
