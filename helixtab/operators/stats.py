@@ -25,21 +25,29 @@ def summarise(results: DataFrame, by: tuple[str, ...] = (), numbers: list[str] |
     return results.groupBy(*by).agg(*[f(c).alias(f"{c}_{name}") for c in own for name, f in (("min", F.min), ("max", F.max), ("sum", F.sum), ("mean", F.avg))])
 
 
-def summarise_percentile(results: DataFrame, p: float, by: tuple[str, ...] = (), numbers: list[str] | None = None) -> DataFrame:
-    """Of each number the element at floor(p * n) of its sorted values, the last if p is 1.
+def summarise_percentile(results: DataFrame, p: float, by: tuple[str, ...] = (), numbers: list[str] | None = None, ranges: int = 256) -> DataFrame:
+    """Of each number the element at floor(p * n) of its sorted values, the last if p is 1. Nulls don't count; NaN is the
+    largest; a null group is a group; a number without values is null, a group without any is left out.
 
-    Ranks come from counts of distinct values, summed in order, so equal values are combined before they are
-    sorted; only distinct values of a group meet."""
+    Equal values are combined first. A group's distinct values are cut into `ranges` of about as many by a sketch of their
+    quantiles; counts of ranges tell exactly which one holds the element, and only that one is sorted. So a task gets
+    about one in `ranges` of a group's distinct values, however large it is, and the sketch can't change the result."""
     own = numbers or [c for c in NUMBERS if c in results.columns]
-    keys = list(by) or ["_all"]
-    rows = results if by else results.withColumn("_all", F.lit(0))
-    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in own])).alias("x")).select(*keys, "x.name", "x.v").where("v is not null")
-    counts = long.groupBy(*keys, "name", "v").count()
-    w = Window.partitionBy(*keys, "name")
-    rank = counts.withColumn("upto", F.sum("count").over(w.orderBy("v"))).withColumn("total", F.sum("count").over(w))
+    number = F.explode(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("v")) for c in own]))
+    long = results.select(F.struct(*by).alias("key") if by else F.lit(0).alias("key"), number.alias("x")).select(F.struct("key", "x._name").alias("g"), "x.v").where("v is not null")
+    counts = long.groupBy("g", "v").agg(F.count("*").alias("n"))
+    cuts = counts.groupBy("g").agg(F.percentile_approx("v", [i / ranges for i in range(ranges)]).alias("cuts"), F.sum("n").alias("total"))
+    placed = counts.join(cuts, "g").select("g", "v", "n", "total", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))
     at = F.least(F.floor(F.lit(p) * F.col("total")), F.col("total") - 1)
-    hit = rank.where((F.col("upto") > at) & (F.col("upto") - F.col("count") <= at))
-    return hit.groupBy(*keys).pivot("name", own).agg(F.first("v")).drop("_all")
+
+    def holding(rows: DataFrame, order: str, before: Column) -> DataFrame:
+        upto = rows.withColumn("upto", before + F.sum("n").over(Window.partitionBy("g").orderBy(order)))
+        return upto.where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at))
+
+    parts = holding(placed.groupBy("g", "part").agg(F.sum("n").alias("n"), F.first("total").alias("total")), "part", F.lit(0)).select("g", "part", (F.col("upto") - F.col("n")).alias("before"))
+    hit = holding(placed.join(parts, ["g", "part"]), "v", F.col("before"))
+    wide = hit.select("g.key", "g._name", "v").groupBy("key").pivot("_name", own).agg(F.first("v"))
+    return wide.select(*(["key.*"] if by else []), *own)
 
 
 def compare_no_ts(results: DataFrame, no_ts: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Golden rows of the pair operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,29 @@ def test_single_switch(spark):
     inner = {"R": r, "Q": q}[f.s][f.sp2 - f.length : f.sp2][::-1].translate(str.maketrans("ACGT", "TGCA"))
     assert inner == {"R": r, "Q": q}[f.p][f.sp1_q : f.sp4_q] and f.first_offset == f.sp2 - f.sp1_q
     assert found[1].ts_cost is None and found[1].no_ts_cost == 2
+
+
+def test_percentile_of_ranges(spark):
+    """The element at floor(p * n) of every group by hand: ties, one hot value, many values in few ranges, nulls, NaN, a null
+    group, an empty table."""
+    from math import floor
+
+    from helixtab.operators import stats
+
+    rng = random.Random(5)
+    rows = [(g, float(rng.choice([7, rng.randrange(40), rng.gauss(0, 1e6)])), rng.choice([None, 1.0, -0.0, 0.0, 2.5])) for g in ["a"] * 900 + [None] * 333 + ["b"] * 5]
+    rows += [("c", None, None), ("c", 3.0, None), ("d", float("nan"), 1.0), ("d", 1.0, 1.0), ("e", None, None)]
+    df = spark.createDataFrame(rows, "g string, cost double, runtime double")
+    for p in (0.0, 0.3, 0.9, 1.0):
+        for ranges in (1, 3, 256):
+            got = {r.g: (r.cost, r.runtime) for r in stats.summarise_percentile(df, p, ("g",), ranges=ranges).collect()}
+            assert set(got) == {"a", "b", "c", "d", None}
+            for g, values in got.items():
+                for i, value in enumerate(values):
+                    own = sorted((r[i + 1] for r in rows if r[0] == g and r[i + 1] is not None), key=lambda x: (x != x, x))
+                    want = own[min(floor(p * len(own)), len(own) - 1)] if own else None
+                    assert value == want or (value != value and want != want)
+    own = sorted(r[1] for r in rows if r[1] is not None and r[1] == r[1])
+    whole = stats.summarise_percentile(df.where("not isnan(cost)"), 0.5).collect()
+    assert len(whole) == 1 and whole[0].cost == own[len(own) // 2]
+    assert stats.summarise_percentile(df.limit(0), 0.5).count() == 0
