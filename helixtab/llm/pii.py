@@ -1,16 +1,18 @@
 """Surrogates for personal data, in DataFrame operations only.
 
-Found: e-mail addresses, telephone, card, social security and IBAN numbers, IPv4 addresses, access tokens, and names
-after a title; in texts with such names, also their parts without one. Each distinct value gets one surrogate, made from
+Found: e-mail addresses, telephone, card, social security and IBAN numbers, IPv4 and IPv6 addresses, access tokens, and
+names after one or more titles; in texts with such names, also their parts without one. Each distinct value gets one surrogate, made from
 an HMAC under a secret key, over the whole table (coreference); two values never get the same one, and none gets a value of its kind that
 the table really holds (collision checks; who loses draws again, from more values each time where a kind has few).
 Surrogates keep what kind of value it is: length, separators and case; the leading digit of a card and whether its check
 digit is right; the country of an IBAN, with right check digits; a name's script and its bearer's gender; the country
-prefix of a telephone number, whose other spellings get the same digits. Given and family names are values apart, so a
-family name alone is still the same person's; so are an address's domain and the whole address. A given name's gender is
+prefix of a telephone number or its leading zero; other spellings of it get the same digits. Given and family names are
+values apart, so a family name alone is still the same person's, and so are the parts of a name with hyphens or
+apostrophes, which stay where they are; initials, particles (van, de la) and a letter before an apostrophe stay as they
+are. An address's domain and the whole address are values apart, too. Letters outside ASCII become ASCII ones there. A given name's gender is
 that of most of its titles that tell one, so Frau Maria and Dr. Maria are the same.
 
-Nulls: a null text stays null, a null id is an id. Repeated rows come out alike. Texts without a finding pass
+An empty key is an error. Nulls: a null text stays null, a null id is an id. Repeated rows come out alike. Texts without a finding pass
 unchanged; empty tables give empty results; extra columns are carried along, but for one named n_entities, which is
 replaced.
 """
@@ -18,6 +20,8 @@ replaced.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,24 +32,33 @@ from helixtab.llm.shared import written
 MALE = "Mr Herr Herrn Monsieur Señor Sr Sir Господин Г-н".split()
 FEMALE = "Mrs Ms Miss Frau Madame Mme Mlle Señora Señorita Sra Госпожа Г-жа".split()
 NEUTRAL = "Dr Prof Mx".split()
+PARTICLES = "al bin da de del den der des di do dos du el ibn la le ten ter van vom von zu zum zur".split()
 SYLLABLES = {"lat": "ba be bo da de do fa fe ka ko la le li lo ma mi mo na ne ni no pa ra re ri ro sa si so ta te to".split(), "cyr": "ба бе бо да де до ва ве ка ко ла ле ли ло ма ми мо на не ни но па ра ре ри ро са си со та те то".split()}
 ENDINGS = {"given_m": {"lat": "rik bert lan tor".split(), "cyr": "слав мир тор дан".split()}, "given_f": {"lat": "lina nora tessa mira".split(), "cyr": "лина нора миля дана".split()}, "given_n": {"lat": "lin ren nel ris".split(), "cyr": "лин рен нель рис".split()}, "surname": {"lat": "gard holt vik mond".split(), "cyr": "нко вич дзе рян".split()}}
 
-_NAME = r"\p{Lu}[\p{L}'’-]++"
+_TITLE = rf"(?:{'|'.join(MALE + FEMALE + NEUTRAL)})"
+_NAME = rf"(?!{_TITLE}(?![\p{{L}}'’-]))\p{{Lu}}[\p{{L}}\p{{M}}'’-]++"
+_SMALL = rf"(?:\p{{Lu}}\.|{'|'.join(PARTICLES)})"
+#: A name's titles, and the words in it that are values.
+TITLES = rf"^(?:{_TITLE}\.? )+"
+WORD = rf"(?<![\p{{L}}\p{{M}}])(?!\p{{L}}['’.])(?!{_SMALL} )[\p{{L}}\p{{M}}]++"
+TOKENS = r"AKIA|ASIA|AIza|eyJ|github_pat_|gh[pousr]_|glpat-|xox[abeoprs]-|[rs]k_(?:live|test)_|sk-(?:proj-|svcacct-|admin-)?"
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})(?![A-Za-z0-9-])",
-    "secret": r"(?<![0-9A-Za-z_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,}+|(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}+)(?![0-9A-Za-z_])",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++(?:['’][\p{L}\p{M}\p{N}._%+-]++)*+@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++)*(?<=\.\p{L}{2,63}|\.xn--[0-9A-Za-z-]{2,59})(?![\p{L}\p{N}-])",
+    "secret": r"(?<![0-9A-Za-z_])(?:A[KS]IA[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+\.[0-9A-Za-z_-]{10,}+|github_pat_[0-9A-Za-z_]{22,}+|gh[pousr]_[0-9A-Za-z]{36}|glpat-[0-9A-Za-z_-]{20,}+|xox[abeoprs]-[0-9A-Za-z-]{10,}+|[rs]k_(?:live|test)_[0-9A-Za-z]{16,}+|sk-(?:proj-|svcacct-|admin-)?[0-9A-Za-z]{20,}+|(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}+)(?![0-9A-Za-z_])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])|(?<![\w-])(?<!\d )\d{3} \d{2} \d{4}(?![\w-]| \d)",
     "card": r"(?<![\w.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{13,19})(?![\w-]|\.\d)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
-    "phone": r"(?<![\w+.-])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w+.-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w|\.\d)",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? {_NAME}(?: {_NAME}){{0,2}}",
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*::)(?![0-9A-Fa-f:]*::[0-9A-Fa-f:]*::)[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    "phone": r"(?<![\w+.-])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+.-])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w+.-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w|\.\d)|(?<![\w+.,:/-])(?=0(?:[ /-]?\d){8,12}(?!\d))0\d{2,4}[ /-]\d{3,9}(?:[ -]\d{2,4}){0,3}(?!\w|[.,:/-]\d)",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE}\.? )++(?:{_SMALL} )*+{_NAME}(?:(?: {_SMALL})*+ {_NAME})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # What a text with a finding must have; cheap to look for, and most texts have none of it.
-DIGIT_RUN = r"[0-9][0-9 ().-]{5,}[0-9]|[A-Z]{2}[0-9]{2}|[0-9a-f]{32}"
-TITLED = rf"(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))}])(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}"
+DIGIT_RUN = r"[0-9][0-9 ()./-]{5,}[0-9]|[A-Z]{2}[0-9]{2}|[0-9a-f]{32}|[0-9A-Fa-f]::?[0-9A-Fa-f]{1,4}:|[0-9A-Fa-f]::[0-9A-Fa-f]"
+HINTS = ("@", "AKIA", "ASIA", "AIza", "eyJ", "_", "sk-", "glpat-", "xox")
+TITLED = rf"(?=[{''.join(sorted({t[0] for t in MALE + FEMALE + NEUTRAL}))}])(?<!\p{{L}}){_TITLE}\.? (?:\p{{Lu}}|{_SMALL} )"
 #: Draws after which those from more values begin, and after which it is an error.
 NARROW, ROUNDS = 4, 60
 
@@ -57,13 +70,13 @@ def _digits(x: Column) -> Column:
 def found_in(text: Column) -> Column:
     """If there is anything to find; hints first, as most texts have none."""
     digits = text.rlike("[0-9]") & text.rlike(DIGIT_RUN)
-    hinted = digits | text.contains("@") | text.contains("AKIA") | text.contains("_") | text.contains("sk-") | text.rlike(TITLED)
+    hinted = reduce(or_, [text.contains(h) for h in HINTS], digits) | text.rlike(TITLED)
     return F.coalesce(hinted & text.rlike(ANY), F.lit(False))
 
 
 def kind_of(m: Column) -> Column:
     found = F.when(m.contains("@"), "email")
-    for kind in ("secret", "iban", "ssn", "card", "ip", "name"):
+    for kind in ("secret", "iban", "ssn", "card", "ip", "ip6", "name"):
         found = found.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), kind)
     return found.when(m.rlike(r"^\p{Lu}"), "bare").otherwise("phone")
 
@@ -72,17 +85,26 @@ def script_of(x: Column) -> Column:
     return F.when(x.rlike(r"\p{IsCyrillic}"), "_cyr").otherwise("_lat")
 
 
+def name_parts(m: Column) -> tuple[Column, Column, Column]:
+    """A name's titles, given names (with what is between them and the last) and last name."""
+    titles = F.regexp_extract(m, TITLES, 0)
+    names = F.substr(m, F.length(titles) + 1, F.length(m))
+    given = F.regexp_extract(names, "^.* ", 0)
+    return titles, given, F.substr(names, F.length(given) + 1, F.length(names))
+
+
 def values_of(m: Column) -> Column:
     """The values a match stands for, as array<struct<kind, norm, gender>>: one, an address and its domain, or a name's
     parts."""
     kind = kind_of(m)
-    parts = F.split(m, " ")
-    title = F.regexp_replace(parts[0], r"\.$", "")
-    gender = F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f").otherwise("n")
-    names = F.slice(parts, F.lit(2), F.size(parts) - 1)
+    titles, given, last = name_parts(m)
+    told = lambda some: titles.rlike(rf"(?<!\p{{L}})(?:{'|'.join(some)})(?!\p{{L}})")
+    gender = F.when(told(MALE), "m").when(told(FEMALE), "f").otherwise("n")
     value = lambda kind, norm, gender="n": F.struct(kind.alias("kind"), norm.alias("norm"), (F.lit(gender) if isinstance(gender, str) else gender).alias("gender"))
-    named = F.transform(names, lambda x, i: value(F.concat(F.when(i == F.size(names) - 1, "surname").otherwise("given"), script_of(x)), F.lower(x), F.when(i == F.size(names) - 1, "n").otherwise(gender)))
-    norm = F.when(kind == "email", F.lower(m)).when(kind.isin("ssn", "card"), _digits(m)).when(kind == "phone", F.right(_digits(m), F.lit(10))).when(kind == "iban", F.replace(m, F.lit(" "))).otherwise(m)
+    part = lambda text, what, gender: F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda x: value(F.concat(F.lit(what), script_of(x)), F.lower(x), gender))
+    named = F.concat(part(given, "given", gender), part(last, "surname", "n"))
+    digits = F.regexp_replace(_digits(m), "^0", "")
+    norm = F.when(kind.isin("email", "ip6"), F.lower(m)).when(kind.isin("ssn", "card"), _digits(m)).when(kind == "phone", F.right(digits, F.lit(10))).when(kind == "iban", F.replace(m, F.lit(" "))).otherwise(m)
     address = F.array(value(kind, norm), value(F.lit("domain"), F.split_part(F.lower(m), F.lit("@"), F.lit(2))))
     return F.when(kind == "name", named).when(kind == "email", address).otherwise(F.array(value(kind, norm)))
 
@@ -124,13 +146,14 @@ def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, strea
 
     def like(text: Column, at: int = 0) -> Column:
         """Digits for digits (none for a leading zero), letters for letters, the rest as it is."""
-        one = lambda c, i: F.when(c.rlike("[0-9]"), F.when((i == 0) & (c != "0"), draw(i + at) % 9 + 1).otherwise(draw(i + at) % 10).cast("string")).when(c.rlike("[a-z]"), letter("a", i + at)).when(c.rlike("[A-Z]"), letter("A", i + at)).otherwise(c)
+        one = lambda c, i: F.when(c.rlike("[0-9]"), F.when((i == 0) & (c != "0"), draw(i + at) % 9 + 1).otherwise(draw(i + at) % 10).cast("string")).when(c.rlike(r"\p{Lu}"), letter("A", i + at)).when(c.rlike(r"\p{L}"), letter("a", i + at)).otherwise(c)
         return F.array_join(F.transform(F.split(text, ""), one), "")
 
     local = F.concat(like(F.split_part(norm, F.lit("@"), F.lit(1))), added)
     domain = F.concat(like(F.split_part(norm, F.lit("."), F.lit(1)), 40), added, F.lit(".example."), pick(["com", "org", "net"], 84))
-    hexed = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.lower(F.hex((draw(i) % 16).cast("long")))), "")
-    prefix = F.regexp_extract(norm, r"^(?:AKIA|gh[pousr]_|sk-)", 0)
+    hexed = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(c == ":", c).otherwise(F.lower(F.hex((draw(i) % 16).cast("long"))))), "")
+    ip6 = F.when(more > 0, F.regexp_replace(F.lower(F.left(stream, F.lit(32))), "(.{4})(?!$)", "$1:")).otherwise(hexed)
+    prefix = F.regexp_extract(norm, f"^(?:{TOKENS})", 0)
     secret = F.when(prefix == "", hexed).otherwise(F.concat(prefix, like(F.substr(norm, F.length(prefix) + 1, F.length(norm)))))
     octet = lambda o, i: F.when(more > 0, draw(i) % 256).when(F.length(o) == 1, draw(i) % 10).when(F.length(o) == 2, draw(i) % 90 + 10).otherwise(draw(i) % 156 + 100).cast("string")
     ip = F.array_join(F.transform(F.split(norm, r"\."), octet), ".")
@@ -140,7 +163,7 @@ def surrogate(kind: Column, norm: Column, gender: Column, attempt: Column, strea
     account = like(F.substr(norm, F.lit(5), F.length(norm)))
     country = F.left(norm, F.lit(2))
     iban = F.concat(country, F.lpad((98 - _ninety_seventh(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
-    made = F.when(kind == "email", local).when(kind == "domain", domain).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", F.concat(F.lit("9"), like(F.substr(norm, F.lit(2), F.lit(8))))).when(kind == "iban", iban)
+    made = F.when(kind == "email", local).when(kind == "domain", domain).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "card", card).when(kind == "ssn", F.concat(F.lit("9"), like(F.substr(norm, F.lit(2), F.lit(8))))).when(kind == "iban", iban)
     for script in ("lat", "cyr"):
         stem = F.array_join(F.transform(F.sequence(F.lit(0), more + 2), lambda i: pick(SYLLABLES[script], i)), "")  # noqa: B023
         end = lambda what: pick(ENDINGS[what][script], 80)  # noqa: B023, E731
@@ -183,18 +206,25 @@ def _rendered(m: Column, found: Column) -> Column:
     place = lambda i: F.length(_digits(F.left(m, i + 1))) - spare
     digits = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]") & (place(i) > 0), F.substr(own, place(i), F.lit(1))).otherwise(c)), "")
     spaced = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(own, F.length(F.replace(F.left(m, i + 1), F.lit(" "))), F.lit(1)))), "")
-    parts = F.split(m, " ")
     cased = lambda s, like: F.when(F.upper(like) == like, F.upper(s)).otherwise(F.initcap(s))
-    name = F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(values, lambda v, i: cased(got(v), F.get(parts, i + 1)))), " ")
+    titles, given, last = name_parts(m)
+
+    def renamed(text: Column, what: str) -> Column:
+        new = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda x: cased(F.coalesce(has(F.concat(F.lit(what), script_of(x)), F.lower(x)), x), x))
+        return F.array_join(F.zip_with(F.split(text, WORD, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    name = F.concat(titles, renamed(given, "given"), renamed(last, "surname"))
     bare = cased(F.coalesce(has(F.concat(F.lit("surname"), script_of(m)), F.lower(m)), has(F.concat(F.lit("given"), script_of(m)), F.lower(m)), m), m)
     address = F.concat(own, F.lit("@"), got(F.get(values, 1)))
-    return F.when(kind == "name", name).when(kind == "bare", bare).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when(kind == "email", F.when(m == F.upper(m), F.upper(address)).otherwise(address)).otherwise(own)
+    return F.when(kind == "name", name).when(kind == "bare", bare).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when(kind == "email", F.when(m == F.upper(m), F.upper(address)).otherwise(address)).when((kind == "ip6") & (m == F.upper(m)), F.upper(own)).otherwise(own)
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with surrogates in place of what is found in text; n_entities says how many.
 
     Only texts with findings are joined with their surrogates, on id and a hash of the text; the others pass."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
     docs = docs.drop("n_entities")
     has = found_in(F.col("text"))
     keys = {"_pii_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_pii_hash": F.xxhash64("text")}

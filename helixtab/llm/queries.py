@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Callable
 
@@ -16,8 +17,12 @@ TOXIC = 0.7
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The secret key of surrogates: the setting helixtab.pii.key. Without it, one that everybody knows, for trials."""
-    return spark.conf.get("helixtab.pii.key", "not a secret")
+    """The secret key of surrogates: the setting helixtab.pii.key. Without it, one that everybody knows, for trials, with a
+    warning: who knows the key can try values out."""
+    key = spark.conf.get("helixtab.pii.key", None)
+    if not key:
+        warnings.warn("helixtab.pii.key is not set: surrogates are made with a key that everybody knows", stacklevel=2)
+    return key or "not a secret"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from math import floor
 import numpy as np
 import pytest
 
-from helixtab.llm import divergence, near_text, periodic, rpforest
+from helixtab.llm import divergence, near_text, periodic, pii, rpforest
 from helixtab.llm.queries import planted_repeats
 
 DOCS = "doc_id long, text string, lang string, source string, term string, n_terms int"
@@ -227,3 +227,35 @@ def test_near_texts_find_cut_and_replaced_blocks(spark):
             found.setdefault(kind if kind == "short" else (kind, share), []).append(linked)
     print({k: (sum(v), len(v)) for k, v in found.items()})
     assert len(found) == 9 and all(sum(v) >= (0.9 if k == "short" else 0.95) * len(v) and len(v) >= 30 for k, v in found.items())
+
+
+def test_pii_chains_of_titles_long_names_and_other_forms(spark):
+    """Nothing of these values stays, and all that isn't one does: titles, initials, particles, separators, prefixes."""
+    texts = [
+        "Frau Dr. Maria Weiss kam mit Herrn Prof. Dr. Karl Weiss.", "Mr. John Ronald Reuel Tolkien wrote.", "Mr. J. R. R. Tolkien wrote.", "Herr Ludwig van Beethoven und Herr von Stein.",
+        "Ms. Anne-Marie O'Brien-Smith, later Smith and O'Brien.", "Г-н Иван Петров", "müller@firma.de, o'neil@box.example and x@y.abcdefghijklmnopqrstuvwxyz",
+        "0151-23456789; 030 1234567; +49 151 23456789; 020 7946 0958", "github_pat_11ABCDEFG0abcdefghijkl_mnop and glpat-abcdefghij0123456789 or xoxb-1234567890-abcdef", "2001:db8:0:0:1:2:3:4 or FE80::1FF:FE23:4567:890A", "123 45 6789",
+    ]
+    kept = ["at 12:30:45 on 01-02-2024 12:30", "std::string a::b bad::face", "Doctor Maria, 0.123 456 789, 100 20 3000 4", "Frau und Herr", "007 12345, 0001"]
+    df = spark.createDataFrame(list(enumerate(texts + kept)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(df, "k").collect()}
+    match = lambda i, p: re.fullmatch(p, got[i]).groups()
+    a, b, c, d = match(0, r"Frau Dr\. (\w+) (\w+) kam mit Herrn Prof\. Dr\. (\w+) (\w+)\.")
+    assert b == d and a.lower().endswith(tuple(pii.ENDINGS["given_f"]["lat"])) and c.lower().endswith(tuple(pii.ENDINGS["given_m"]["lat"])) and not {"Maria", "Weiss", "Karl"} & {a, b, c}
+    names, other = match(1, r"Mr\. (\w+ \w+ \w+ \w+) wrote\."), match(2, r"Mr\. J\. R\. R\. (\w+) wrote\.")
+    assert not set("John Ronald Reuel Tolkien".split()) & set(names[0].split()) and names[0].split()[3] == other[0]
+    assert not {"Ludwig", "Beethoven", "Stein"} & set(match(3, r"Herr (\w+) van (\w+) und Herr von (\w+)\."))
+    anne, marie, brien, smith, again, too = match(4, r"Ms\. (\w+)-(\w+) O'(\w+)-(\w+), later (\w+) and O'(\w+)\.")
+    assert smith == again != "Smith" and brien == too != "Brien" and "Anne" != anne != marie != "Marie"
+    assert re.fullmatch(r"Г-н [А-Я][а-я]+ [А-Я][а-я]+", got[5]) and "Петров" not in got[5]
+    assert not re.search("müller|ller|firma|neil|box|abcdef", got[6]) and len(re.findall(r"\.example\.(?:com|org|net)", got[6])) == 3
+    first, area, whole, london = match(7, r"0(\d{3}-\d{8}); 0(\d\d \d{7}); \+49 (\d{3} \d{8}); 0(\d\d \d{4} \d{4})")
+    assert first.replace("-", "") == whole.replace(" ", "") != "15123456789" and area != "30 1234567" and london != "20 7946 0958"
+    pat, gl, xox = match(8, r"github_pat_(\w{22}_\w{4}|\w+) and glpat-(\w{20}) or xoxb-(\d{10}-[a-z]{6})")
+    assert "11ABCDEFG0" not in pat and gl != "abcdefghij0123456789" and xox != "1234567890-abcdef" and len(got[8]) == len(texts[8])
+    full, short = match(9, r"([0-9a-f:]+) or ([0-9A-F:]+)")
+    assert full != "2001:db8:0:0:1:2:3:4" and [len(x) for x in full.split(":")] == [4, 3, 1, 1, 1, 1, 1, 1] and re.fullmatch(r"[0-9A-F]{4}::[0-9A-F]{3}(?::[0-9A-F]{4}){3}", short) and short not in texts[9]
+    assert re.fullmatch(r"9\d\d \d\d \d{4}", got[10])
+    assert [got[len(texts) + i] for i in range(len(kept))] == kept
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df, "")
