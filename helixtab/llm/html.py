@@ -13,7 +13,8 @@ The slots decide what is extracted: from the root of the nested classes the way
 hold most of what its parent holds, or to several if they take turns on different pages (page types). Article and main
 elements that hold half are taken at once; a page's h1 stays. The main text is what a page has in these slots,
 without constant blocks and without what is marked as a menu, header, footer, sidebar, notice, advert, form or comment
-by its element or by a whole class name. A page that has none of the host's content elements, or whose host has no
+by its element or by a whole class name. A form that the page's content is in (an article, main or h1 element, or as a child
+of body half of the text, with paragraphs) is none. A button or choice that isn't closed ends where a block begins that it can't hold. A page that has none of the host's content elements, or whose host has no
 template, is a host of its own here: the same way down, over its own elements.
 
 Nulls: a null html is empty (no text), a null url has the empty host. Repeated rows count as pages. Hosts of fewer than
@@ -47,7 +48,8 @@ HELD, PATHS, SMALL = 500_000, 200_000, 4_000_000
 # Element names of HTML by what they mean here, and class names of what is no main text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
-OUTSIDE = set("aside button canvas datalist dialog footer form head iframe map menu nav object option select svg title video audio".split())
+OUTSIDE = set("aside button canvas datalist dialog footer head iframe map menu nav object option select svg title video audio".split())
+CONTROLS = set("button datalist option select title".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 HOLDS = set("article body center div html main section table tbody td tr".split())
 LABELS = set(
@@ -124,17 +126,23 @@ def parse(text: str, content: frozenset[int] = frozenset()) -> Page:
     page, held = Page(), []
     root = _hashes[""]
     page.elements[root] = Element(0, 0, False, False, True, 1)
-    # element, path, its hash, outside (1: by a name, 2: by what it is), in article or main, inside content
-    stack = [("", "", root, 0, False, root in content)]
+    # element, path, its hash, outside (1: by a name, 2: by what it is), in article or main, inside content, number of its form
+    stack = [("", "", root, 0, False, root in content, 0)]
+    forms: list[int] = [0]  # characters in each form that only the form speaks against; -1 if it has content elements
+    in_forms: list[tuple[int, Block]] = []
+    top: set[int] = set()  # forms right in the body
+    told: set[int] = set()  # those with paragraphs
 
     def flush():
         if held:
             block = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if block:
-                _, _, at, outside, _, inside = stack[-1]
-                page.blocks.append(Block(at, outside > 0, inside, block))
-                if not outside:
+                _, _, at, outside, _, inside, form = stack[-1]
+                page.blocks.append(Block(at, outside > 0 or form > 0, inside, block))
+                if form and not outside:
+                    in_forms.append((form, page.blocks[-1]))
+                elif not outside:
                     page.elements[at].chars += len(block)
 
     for m in _TOKEN.finditer(text):
@@ -148,6 +156,10 @@ def parse(text: str, content: frozenset[int] = frozenset()) -> Page:
             inline = tag in INLINE
             if not inline:
                 flush()
+                if tag in CLOSES_P and tag != "div":
+                    i = next((i for i, x in enumerate(stack) if x[0] in CONTROLS), 0)
+                    if i:
+                        del stack[i:]
                 shuts = "p" if tag in CLOSES_P else tag if tag in ("li", "dt", "dd", "tr", "td", "th") else None
                 if shuts:
                     for i in range(len(stack) - 1, 0, -1):
@@ -156,7 +168,7 @@ def parse(text: str, content: frozenset[int] = frozenset()) -> Page:
                             break
                         if stack[i][0] not in INLINE and stack[i][0] != "p":
                             break
-            _, path, at, outside, in_main, inside = stack[-1]
+            above, path, at, outside, in_main, inside, form = stack[-1]
             names = "".join("".join(g) + " " for g in _NAMED.findall(attributes)).split() if attributes else []
             marked = bool(names) and tag not in ("html", "body") and not (inline and tag == "a") and labelled(names, in_main)
             is_main = tag in ("article", "main") or (tag == "div" and "main" in names)
@@ -167,6 +179,15 @@ def parse(text: str, content: frozenset[int] = frozenset()) -> Page:
                     known = page.elements[at] = Element(up, len(stack), is_main, tag == "h1", tag in HOLDS)
                 known.times += 1
                 inside = inside or at in content
+            if tag == "form" and not form:
+                form = len(forms)
+                forms.append(0)
+                if above in ("", "html", "body"):
+                    top.add(form)
+            elif form and not outside and (is_main or tag == "h1"):
+                forms[form] = -1
+            elif tag == "p" and form in top:
+                told.add(form)
             if tag in OUTSIDE or (tag == "header" and not in_main):
                 outside = 2
             elif is_main and outside == 1 and not marked:
@@ -175,7 +196,7 @@ def parse(text: str, content: frozenset[int] = frozenset()) -> Page:
                 if inline:
                     flush()
                 outside = 1
-            stack.append((tag, path, at, outside, in_main or is_main, inside))
+            stack.append((tag, path, at, outside, in_main or is_main, inside, form))
         elif closed:
             tag = closed.lower()
             i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
@@ -186,6 +207,15 @@ def parse(text: str, content: frozenset[int] = frozenset()) -> Page:
         elif piece[0] != "<" or piece == "<":
             held.append(piece)
     flush()
+    if in_forms:
+        for form, block in in_forms:
+            if forms[form] >= 0:
+                forms[form] += len(block.text)
+        whole = sum(len(b.text) for _, b in in_forms) + sum(len(b.text) for b in page.blocks if not b.outside)
+        for form, block in in_forms:
+            if forms[form] < 0 or (form in told and forms[form] >= HALF * whole):
+                block.outside = False
+                page.elements[block.path].chars += len(block.text)
     return page
 
 

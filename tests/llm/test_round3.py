@@ -11,7 +11,7 @@ from math import floor
 import numpy as np
 import pytest
 
-from helixtab.llm import divergence, near_text, periodic, pii, rpforest
+from helixtab.llm import divergence, html, near_text, periodic, pii, rpforest
 from helixtab.llm.queries import planted_repeats
 
 DOCS = "doc_id long, text string, lang string, source string, term string, n_terms int"
@@ -259,3 +259,25 @@ def test_pii_chains_of_titles_long_names_and_other_forms(spark):
     assert [got[len(texts) + i] for i in range(len(kept))] == kept
     with pytest.raises(ValueError):
         pii.pseudonymise(df, "")
+
+
+def test_html_forms_and_unclosed_controls(spark):
+    """A form around the page, with or without an article, and controls that aren't closed lose no text; a form in the
+    page and what is marked inside the page's form still go."""
+    p = "<p>A first paragraph of the text.</p><p>And a second one, longer than that.</p>"
+    want = "A first paragraph of the text. And a second one, longer than that."
+    bodies = [
+        f"<form id=aspnetForm><nav>Menu</nav><article>{p}</article><aside>Side</aside><label>Name</label></form>",
+        f"<form><div class=top><h1>Head</h1></div><div>{p}</div><div class=newsletter>Join us</div></form>",
+        f"<form action=x><div>{p}</div><footer>Foot</footer></form>",
+        f"<article>{p}<form><label>Your mail</label><button>Send</button></form></article>",
+        f"<div>{p}</div><form><label>Search here</label></form>",
+        f"<article><button>Share {p}</article>", f"<article><select><option>One<option>Two {p}</article>",
+        f"<article>{p}<button><div>Click</div></button></article>", f"<div class=reply><article>{p}</article></div>",
+        "<form><label>Only a form, in a page that has nothing else</label></form><aside><form><h1>No</h1></form></aside>",
+    ]
+    rows = [(i, f"http://h{i}.example/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(9):
+        assert got[i] == ("Head " if i == 1 else "") + want
+    assert got[9] == ""
