@@ -6,8 +6,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from helixtab import queries
-from helixtab.operators import anchors, edges, tables
+from helixtab.operators import anchors, chains, edges, tables
 from helixtab.sources.costs import load_costs, of_set
 
 
@@ -48,3 +47,16 @@ def test_edges_in_one_pass(spark):
     assert sorted(got.collect()) == sorted(edges.top_successors(joined["primary"], 2).select(got.columns).collect())
     want = edges.block_edges(anchors.block_seeds(pairs, 7)[0], 9)
     assert sorted(edges.pair_block_edges(pairs, 7, 9).select(want.columns).collect()) == sorted(want.collect())
+
+
+def test_spans_that_cannot_matter(spark, monkeypatch):
+    """Sequences about as long as the greatest span, with many inverted repeats that are near one another, are no error: no switch
+    among them can be longer than the limit."""
+    monkeypatch.setattr(chains, "MAX_FIRST", 50)
+    rng = random.Random(5)
+    r = "".join(rng.choices("ACGT", k=172)) + "A" * 20
+    pairs = spark.createDataFrame([(1, r, r[:80] + "T" * 18 + r[98:])], "pair_id int, r_seq string, q_seq string")
+    costs = of_set(load_costs(spark), "bench")
+    got = chains.chain_pairs(pairs, costs, 10, ts=True).collect()
+    assert got == chains.chain_pairs(pairs, costs, 10, ts=True, max_span=10_000).collect()
+    assert anchors.pair_anchors(pairs, 10).groupBy("kind").count().agg(F.max("count")).first()[0] > 50
