@@ -6,6 +6,8 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
+from helixtab import queries
+from helixtab.functions import seq
 from helixtab.operators import anchors, chains, edges, tables
 from helixtab.sources.costs import load_costs, of_set
 
@@ -60,3 +62,11 @@ def test_spans_that_cannot_matter(spark, monkeypatch):
     got = chains.chain_pairs(pairs, costs, 10, ts=True).collect()
     assert got == chains.chain_pairs(pairs, costs, 10, ts=True, max_span=10_000).collect()
     assert anchors.pair_anchors(pairs, 10).groupBy("kind").count().agg(F.max("count")).first()[0] > 50
+
+
+def test_pairs_are_dealt_out_in_parts_that_grow_no_larger(spark):
+    """As many parts as the table needs, and no shuffle of a pair's rows after that."""
+    rows = seq.dealt(spark.range(100).select(F.col("id").alias("pair_id")), 37)
+    assert rows.rdd.getNumPartitions() == 37
+    plan = queries.QUERIES["w1_flatten_ops"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
