@@ -16,7 +16,9 @@ about the similarity to the power of their number; a single new one flips severa
 
 Groups need no pairs: every text at a key is first compared with the key's smallest text. What that links is one
 component from then on, and only keys where several components meet are looked at again: there all pairs of different
-components are compared, or with more than CROWD texts each text with LEADERS drawn ones. That last case is not exact.
+components are compared. With more than CROWD texts each text is compared with LEADERS drawn ones first, and then, where
+several components are left, the fingerprints of all pairs of them, block by block: its work grows with the square of such
+a crowd, its memory doesn't.
 
 Nulls: a null text is empty. Rows without an id take no part. Rows that share an id are one document, linked if
 any of its texts is. Empty tables give empty results; extra columns are carried along or ignored.
@@ -42,6 +44,8 @@ LANES = 4
 #: Shingles in each of the sampled segments.
 SAMPLES = (3,) * 4 + (5,) * 8
 CROWD, LEADERS = 64, 3
+#: Texts of a crowd that a task compares with as many others at once.
+BLOCK = 2048
 _CHUNK = 1 << 15
 _FPS = [f"f{i}" for i in range(LANES)]
 _SAMPLED = [f"s{i}" for i in range(len(SAMPLES) // 2)]
@@ -157,6 +161,44 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return written(both.mapInArrow(run, "a long, b long").distinct(), "near-links")
 
 
+def _met(members: DataFrame, links: DataFrame) -> DataFrame:
+    """k, node, part (its component by the links), n (texts at the key) and drawn texts, of keys where components meet."""
+    parts = members.select("k", "node").join(components(links), "node", "left").select("k", "node", F.coalesce("root", "node").alias("part"))
+    drawn = F.array(*[F.min_by(F.struct("node", "part"), F.xxhash64("node", F.lit(i))) for i in range(LEADERS)])
+    met = parts.groupBy("k").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most"), drawn.alias("drawn")).where("least != most")
+    return parts.join(met.select("k", "n", "drawn"), "k")
+
+
+def _crossed(crowds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components at a key whose complete fingerprints differ by at most DISTANCE bits. Each text
+    of a key goes into a block of it, and each two blocks to a task."""
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = crowds.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part").join(nodes.select("node", *_FPS), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        k, i, j = (table[c][0].as_py() for c in ("k", "i", "j"))
+        own, node, part = (table[c].to_numpy() for c in ("own", "node", "part"))
+        prints = np.stack([table[f].to_numpy() for f in _FPS], 1).view(np.uint64)
+        segment = k >> 32
+        value = prints[:, segment // 2] >> np.uint64(32 * (segment % 2)) & np.uint64(0xFFFFFFFF) if segment < 2 * LANES else None
+        right = np.flatnonzero(own == j)
+        found = [np.zeros((2, 0), np.int64)]
+        for left in np.array_split(np.flatnonzero(own == i), max(1, len(right) // 64)):
+            apart = sum(np.bitwise_count(prints[left, f][:, None] ^ prints[right, f]).astype(np.int16) for f in range(LANES))
+            near = (apart <= DISTANCE) & (part[left][:, None] != part[right])
+            if i == j:
+                near &= node[left][:, None] < node[right]
+            if value is not None:
+                # texts with one value meet at that key, too
+                near &= (value[left][:, None] != value[right]) | (value[right] == (k & 0xFFFFFFFF))
+            x, y = np.nonzero(near)
+            found.append(np.stack([np.minimum(node[left[x]], node[right[y]]), np.maximum(node[left[x]], node[right[y]])]))
+        return pa.table(dict(zip("ab", map(pa.array, np.concatenate(found, 1)))))
+
+    return rows.groupBy("k", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_texts(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (the smallest doc_id that links reach, its own included), once for each id and text."""
     own = written(_prints(docs), "near-prints")
@@ -169,10 +211,7 @@ def near_texts(docs: DataFrame) -> DataFrame:
     tried = _near(members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes)
     links = _verified(tried, docs)
 
-    parts = members.select("k", "node").join(components(links), "node", "left").select("k", "node", F.coalesce("root", "node").alias("part"))
-    drawn = F.array(*[F.min_by(F.struct("node", "part"), F.xxhash64("node", F.lit(i))) for i in range(LEADERS)])
-    open_keys = parts.groupBy("k").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most"), drawn.alias("drawn")).where("least != most")
-    rest = written(parts.join(open_keys.select("k", "n", "drawn"), "k"), "near-open")
+    rest = written(_met(members, links), "near-open")
     few, many = rest.where(F.col("n") <= CROWD).select("k", "node", "part"), rest.where(F.col("n") > CROWD)
     other = few.select("k", F.col("node").alias("other"), F.col("part").alias("other_part"))
     pairs = (
@@ -181,7 +220,12 @@ def near_texts(docs: DataFrame) -> DataFrame:
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    roots = components(links.union(_verified(_near(pairs, nodes), docs)).unionByName(_same_id(own, first)))
+    again = _near(pairs, nodes)
+    links = links.union(_verified(again, docs))
+    if not many.isEmpty():
+        crowds = members.join(many.select("k").distinct(), "k", "left_semi")
+        links = links.union(_verified(written(_crossed(_met(crowds, links), nodes).join(tried.union(again), ["a", "b"], "left_anti"), "near-crossed"), docs))
+    roots = components(links.unionByName(_same_id(own, first)))
     named = own.select("doc_id", "t1", "t2").join(first.select("t1", "t2", "node"), ["t1", "t2"])
     return named.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
 
