@@ -85,19 +85,19 @@ def script_of(x: Column) -> Column:
     return F.when(x.rlike(r"\p{IsCyrillic}"), "_cyr").otherwise("_lat")
 
 
-def name_parts(m: Column) -> tuple[Column, Column, Column]:
-    """A name's titles, given names (with what is between them and the last) and last name."""
-    titles = F.regexp_extract(m, TITLES, 0)
-    names = F.substr(m, F.length(titles) + 1, F.length(m))
-    given = F.regexp_extract(names, "^.* ", 0)
-    return titles, given, F.substr(names, F.length(given) + 1, F.length(names))
-
-
-def values_of(m: Column) -> Column:
-    """The values a match stands for, as array<struct<kind, norm, gender>>: one, an address and its domain, or a name's
-    parts."""
-    kind = kind_of(m)
-    titles, given, last = name_parts(m)
+def parts_of(matches: Column) -> Column:
+    """Of each match: m, kind, a name's titles, given names (with what is between them and the last) and last name. Each step
+    reads the one before as a field, so that no expression is repeated in the next one."""
+    matches = F.transform(matches, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"), F.regexp_extract(m, TITLES, 0).alias("titles")))
+    matches = F.transform(matches, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["titles"].alias("titles"), F.substr(x["m"], F.length(x["titles"]) + 1, F.length(x["m"])).alias("names")))
+    matches = F.transform(matches, lambda x: F.struct(*[x[c].alias(c) for c in ("m", "kind", "titles", "names")], F.regexp_extract(x["names"], "^.* ", 0).alias("given")))
+    return F.transform(matches, lambda x: F.struct(*[x[c].alias(c) for c in ("m", "kind", "titles", "given")], F.substr(x["names"], F.length(x["given"]) + 1, F.length(x["names"])).alias("last")))
+
+
+def values_of(x: Column) -> Column:
+    """The values a match (of parts_of) stands for, as array<struct<kind, norm, gender>>: one, an address and its domain, or a
+    name's parts."""
+    m, kind, titles, given, last = (x[c] for c in ("m", "kind", "titles", "given", "last"))
     told = lambda some: titles.rlike(rf"(?<!\p{{L}})(?:{'|'.join(some)})(?!\p{{L}})")
     gender = F.when(told(MALE), "m").when(told(FEMALE), "f").otherwise("n")
     value = lambda kind, norm, gender="n": F.struct(kind.alias("kind"), norm.alias("norm"), (F.lit(gender) if isinstance(gender, str) else gender).alias("gender"))
@@ -196,27 +196,31 @@ def assign(values: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"no distinct surrogates after {ROUNDS} draws")
 
 
-def _rendered(m: Column, found: Column) -> Column:
-    """The match with its values' surrogates in its own format; found: map of kind|norm to surrogate."""
-    kind, values = kind_of(m), values_of(m)
+def _rendered(matches: Column, found: Column) -> Column:
+    """The matches (of parts_of) with their values' surrogates in their own format; found: map of kind|norm to surrogate."""
     has = lambda kind, norm: F.try_element_at(found, F.concat_ws("|", kind, norm))
     got = lambda v: F.coalesce(has(v["kind"], v["norm"]), v["norm"])
-    own = got(values[0])
-    spare = F.length(_digits(m)) - F.length(own)
-    place = lambda i: F.length(_digits(F.left(m, i + 1))) - spare
-    digits = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]") & (place(i) > 0), F.substr(own, place(i), F.lit(1))).otherwise(c)), "")
-    spaced = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(own, F.length(F.replace(F.left(m, i + 1), F.lit(" "))), F.lit(1)))), "")
     cased = lambda s, like: F.when(F.upper(like) == like, F.upper(s)).otherwise(F.initcap(s))
-    titles, given, last = name_parts(m)
 
     def renamed(text: Column, what: str) -> Column:
         new = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda x: cased(F.coalesce(has(F.concat(F.lit(what), script_of(x)), F.lower(x)), x), x))
         return F.array_join(F.zip_with(F.split(text, WORD, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    name = F.concat(titles, renamed(given, "given"), renamed(last, "surname"))
-    bare = cased(F.coalesce(has(F.concat(F.lit("surname"), script_of(m)), F.lower(m)), has(F.concat(F.lit("given"), script_of(m)), F.lower(m)), m), m)
-    address = F.concat(own, F.lit("@"), got(F.get(values, 1)))
-    return F.when(kind == "name", name).when(kind == "bare", bare).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when(kind == "email", F.when(m == F.upper(m), F.upper(address)).otherwise(address)).when((kind == "ip6") & (m == F.upper(m)), F.upper(own)).otherwise(own)
+    def one(x: Column) -> Column:
+        m, kind, own, second = (x[c] for c in ("m", "kind", "own", "second"))
+        spare = F.length(_digits(m)) - F.length(own)
+        place = lambda i: F.length(_digits(F.left(m, i + 1))) - spare
+        digits = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]") & (place(i) > 0), F.substr(own, place(i), F.lit(1))).otherwise(c)), "")
+        spaced = F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(own, F.length(F.replace(F.left(m, i + 1), F.lit(" "))), F.lit(1)))), "")
+        name = F.concat(x["titles"], renamed(x["given"], "given"), renamed(x["last"], "surname"))
+        bare = cased(F.coalesce(has(F.concat(F.lit("surname"), script_of(m)), F.lower(m)), has(F.concat(F.lit("given"), script_of(m)), F.lower(m)), m), m)
+        address = F.concat(own, F.lit("@"), second)
+        return F.when(kind == "name", name).when(kind == "bare", bare).when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when(kind == "email", F.when(m == F.upper(m), F.upper(address)).otherwise(address)).when((kind == "ip6") & (m == F.upper(m)), F.upper(own)).otherwise(own)
+
+    fields = ("m", "kind", "titles", "given", "last")
+    matches = F.transform(matches, lambda x: F.struct(*[x[c].alias(c) for c in fields], values_of(x).alias("values")))
+    matches = F.transform(matches, lambda x: F.struct(*[x[c].alias(c) for c in fields], got(F.get(x["values"], 0)).alias("own"), got(F.get(x["values"], 1)).alias("second")))
+    return F.transform(matches, one)
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
@@ -230,7 +234,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     keys = {"_pii_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_pii_hash": F.xxhash64("text")}
     hit = docs.where(has).withColumns(keys)
     matches = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    values = hit.select(*keys, F.explode(F.flatten(F.transform(matches, values_of))).alias("v")).select(*keys, "v.kind", "v.norm", "v.gender")
+    values = hit.select(*keys, F.explode(F.flatten(F.transform(parts_of(matches), values_of))).alias("v")).select(*keys, "v.kind", "v.norm", "v.gender")
     values = written(values.distinct(), "pii-found")
     given = assign(values.select("kind", "norm", "gender"), key)
     own = values.select(*keys, "kind", "norm").distinct().join(given, ["kind", "norm"])
@@ -241,6 +245,6 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     pattern = F.when(F.size(parts) > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:\Q"), F.array_join(F.reverse(F.array_sort(written_as)), r"\E|\Q"), F.lit(r"\E)(?!\p{L})"))).otherwise(F.lit(ANY))
     joined = hit.join(maps, list(keys), "left").withColumn("_pii_pattern", F.coalesce(pattern, F.lit(ANY))).withColumn("_pii_matches", F.regexp_extract_all("text", F.col("_pii_pattern"), F.lit(0)))
     pieces = F.split("text", F.col("_pii_pattern"), -1)
-    new = F.array_join(F.zip_with(pieces, F.transform("_pii_matches", lambda m: _rendered(m, F.col("_pii_map"))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    new = F.array_join(F.zip_with(pieces, _rendered(parts_of(F.col("_pii_matches")), F.col("_pii_map")), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     rewritten = joined.withColumn("n_entities", F.size("_pii_matches")).withColumn("text", new).select(*docs.columns, "n_entities")
     return rewritten.unionByName(docs.where(~has).withColumn("n_entities", F.lit(0)))
