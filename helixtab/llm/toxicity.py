@@ -46,20 +46,48 @@ def slot(term: int, level: int) -> int:
     return (term * 2654435761 + level * 40503) % (1 << 32) >> 10
 
 
+#: What each level adds to a term's hash (see slot).
+_STEPS = tuple((n, n * 40503) for n in LEVELS)
+
+
 class Selected(dict):
     """word -> its terms with the levels that the model knows and their positions among its sorted slots; without
-    slots, every level at its slot."""
+    slots, every level at its slot. Words share their first characters, so what those give is remembered apart."""
 
     def __init__(self, slots: np.ndarray | None):
         super().__init__()
         self.at = None if slots is None else {int(s): i for i, s in enumerate(slots)}
+        self.starts: dict[str, tuple[int, tuple]] = {}
+        self.full = 0
+
+    def _levels(self, term: int) -> tuple:
+        if self.at is None:
+            return tuple((n, slot(term, n)) for n in LEVELS)
+        x, at = term * 2654435761, self.at
+        return tuple([(n, i) for n, step in _STEPS if (i := at.get((x + step & 0xFFFFFFFF) >> 10)) is not None])
+
+    def _start(self, start: str) -> tuple[int, tuple]:
+        if len(self.starts) >= WORDS_HELD:
+            self.starts.clear()
+        term = xxhash.xxh32_intdigest(start.encode())
+        self.starts[start] = found = (term, self._levels(term))
+        return found
 
     def __missing__(self, word: str) -> tuple:
-        if len(self) >= WORDS_HELD:
+        # words without a known term are small
+        if self.full >= WORDS_HELD or len(self) >= 4 * WORDS_HELD:
             self.clear()
-        found = [(t, [(n, s if self.at is None else self.at.get(s)) for n in LEVELS if (s := slot(t, n)) is not None]) for t in terms_of(word)]
-        self[word] = known = tuple((t, own) for t, levels in found if (own := tuple(x for x in levels if x[1] is not None)))
-        return known
+            self.full = 0
+        term = xxhash.xxh32_intdigest(("=" + word).encode())
+        known, starts = {term: self._levels(term)}, self.starts
+        for k in (3, 4, 5):
+            if len(word) < k:
+                break
+            term, own = starts.get(word[:k]) or self._start(word[:k])
+            known[term] = own
+        self[word] = found = tuple([x for x in known.items() if x[1]])
+        self.full += bool(found)
+        return found
 
     def of(self, text: str) -> list[int]:
         """Positions of the (term, level) pairs of a text: a term that occurs n times is at all levels up to n."""
@@ -91,17 +119,16 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.raw(at), -40, 40))))
 
 
-def _train(slots: np.ndarray, rows: list[list[int]], y: np.ndarray, rank: int, epochs: int, keep: float = 0.7, decay: float = 1e-4, seed: int = 11) -> Machine:
-    """Adagrad on the logistic loss, classes weighted by the square root of their rarity. Terms are left out by chance,
+def _train(slots: np.ndarray, flat: np.ndarray, lengths: np.ndarray, y: np.ndarray, rank: int, epochs: int, keep: float = 0.7, decay: float = 1e-4, seed: int = 11) -> Machine:
+    """flat: the rows' positions one after another. Adagrad on the logistic loss, classes weighted by the square root of their rarity. Terms are left out by chance,
     so that each learns to speak for itself; those that stay count for more by as much."""
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(slots)), rng.normal(0, 0.05, (len(slots), rank))
     gw, gv, bias, gb = np.full(len(w), 1e-2), np.full(v.shape, 1e-2), -2.0, 1e-2
     weight = np.where(y == 1, np.sqrt(0.5 / max(y.mean(), 1e-6)), np.sqrt(0.5 / max(1 - y.mean(), 1e-6)))
-    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat, starts = np.fromiter((i for r in rows for i in r), np.int64, lengths.sum()), np.concatenate(([0], np.cumsum(lengths)))
+    starts = np.concatenate(([0], np.cumsum(lengths)))
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
+        for part in np.array_split(rng.permutation(len(lengths)), max(1, len(lengths) // 256)):
             at = np.concatenate([flat[starts[i] : starts[i + 1]] for i in part]) if len(part) else flat[:0]
             row = np.repeat(np.arange(len(part)), lengths[part])
             stay = rng.random(len(at)) < keep
@@ -155,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([find.of(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["y", "at"])
 
     data = sample.mapInArrow(features, "y int, at array<int>").toArrow()
-    return _train(slots, data["at"].to_pylist(), np.array(data["y"].to_pylist(), np.float64), rank, epochs)
+    at = data["at"].combine_chunks()
+    return _train(slots, at.flatten().to_numpy(), at.value_lengths().to_numpy(), data["y"].to_numpy().astype(np.float64), rank, epochs)
 
 
 def score(docs: DataFrame, machine: Machine | None, column: str = "toxicity") -> DataFrame:
