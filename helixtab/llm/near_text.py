@@ -16,9 +16,10 @@ about the similarity to the power of their number; a single new one flips severa
 
 Groups need no pairs: every text at a key is first compared with the key's smallest text. What that links is one
 component from then on, and only keys where several components meet are looked at again: there all pairs of different
-components are compared. With more than CROWD texts each text is compared with LEADERS drawn ones first, and then, where
-several components are left, the fingerprints of all pairs of them, block by block: its work grows with the square of such
-a crowd, its memory doesn't.
+components are compared. With more than CROWD texts, that is done block by block in tasks that hold the blocks' fingerprints and texts: they
+return no pairs but the links that join components, fewer than they have texts. Their work grows with the square of such a
+crowd, their memory and what they return don't. A task's texts are alike only if the rarest fifth of the shingles of each
+shares one with the other's, so most of a crowd's pairs aren't compared at all.
 
 Nulls: a null text is empty. Rows without an id take no part. Rows that share an id are one document, linked if
 any of its texts is. Empty tables give empty results; extra columns are carried along or ignored.
@@ -26,7 +27,7 @@ any of its texts is. Empty tables give empty results; extra columns are carried
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,9 @@ DISTANCE = 56
 LANES = 4
 #: Shingles in each of the sampled segments.
 SAMPLES = (3,) * 4 + (5,) * 8
-CROWD, LEADERS = 64, 3
-#: Texts of a crowd that a task compares with as many others at once.
-BLOCK = 2048
+CROWD = 64
+#: Texts of a crowd, and their bytes, that a task compares with as many others at once.
+BLOCK, BLOCK_BYTES = 4096, 1 << 24
 _CHUNK = 1 << 15
 _FPS = [f"f{i}" for i in range(LANES)]
 _SAMPLED = [f"s{i}" for i in range(len(SAMPLES) // 2)]
@@ -138,11 +139,16 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(pairs.join(side("b"), "b").join(side("a"), "a").where(apart <= DISTANCE).select("a", "b"), "near-pairs")
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, data: the different texts of each of the ids, which may repeat."""
+    ids = written(ids.toDF("doc_id").distinct(), "near-ids")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data"))
+    return written(join_small(own, ids, ["doc_id"], "left_semi").withColumn("h", F.xxhash64("data")).dropDuplicates(["doc_id", "h"]), "near-texts")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of ids whose texts are alike. Only the texts that are in a pair are moved."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data"))
-    texts = written(join_small(own, ids, ["doc_id"], "left_semi").withColumn("h", F.xxhash64("data")).dropDuplicates(["doc_id", "h"]), "near-texts")
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b"))), docs)
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("data").alias("data_" + c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,19 +168,73 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _met(members: DataFrame, links: DataFrame) -> DataFrame:
-    """k, node, part (its component by the links), n (texts at the key) and drawn texts, of keys where components meet."""
+    """k, node, part (its component by the links) and n (texts at the key), of keys where components meet."""
     parts = members.select("k", "node").join(components(links), "node", "left").select("k", "node", F.coalesce("root", "node").alias("part"))
-    drawn = F.array(*[F.min_by(F.struct("node", "part"), F.xxhash64("node", F.lit(i))) for i in range(LEADERS)])
-    met = parts.groupBy("k").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most"), drawn.alias("drawn")).where("least != most")
-    return parts.join(met.select("k", "n", "drawn"), "k")
-
-
-def _crossed(crowds: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components at a key whose complete fingerprints differ by at most DISTANCE bits. Each text
-    of a key goes into a block of it, and each two blocks to a task."""
+    met = parts.groupBy("k").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most")).where("least != most")
+    return parts.join(met.select("k", "n"), "k")
+
+
+def _compared(crowds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The crowds without keys that no pair is compared at: those of balls where all texts have one value, not the key itself."""
+    segment, at = F.shiftright("k", 32), F.col("k").bitwiseAND(0xFFFFFFFF)
+    values = F.array(*[F.shiftrightunsigned(f"f{s // 2}", 32 * (s % 2)).bitwiseAND(0xFFFFFFFF) for s in range(2 * LANES)])
+    value = F.when(segment < 2 * LANES, F.get(values, segment.cast("int"))).otherwise(at)
+    valued = crowds.join(nodes.select("node", *_FPS), "node").select("k", value.alias("v"), at.alias("at"))
+    keys = valued.groupBy("k").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.first("at").alias("at")).where("least != most or most = at")
+    return crowds.join(keys.select("k"), "k", "left_semi")
+
+
+class Shingled:
+    """The shingles of a task's texts as numbers, the rarest of the task first, and which texts have each one in their prefix.
+    Two texts that are alike share as much as SIMILARITY of either's shingles, so one of the few that are left and one more."""
+
+    def __init__(self, texts: list[bytes]):
+        found = [shingle_set(words(t), WORDS) for t in texts]
+        self.size = np.array([len(f) for f in found], np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.size)))
+        _, own, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        rank = np.empty(len(times), np.int64)
+        rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+        text, own = np.repeat(np.arange(len(found)), self.size), rank[own]
+        self.numbers = own[np.lexsort((own, text))]
+        self.prefix = np.where(self.size, self.size + 1 + -SIMILARITY[0] * self.size // SIMILARITY[1], 0)
+        first = np.arange(len(own)) - np.repeat(self.start[:-1], self.size) < np.repeat(self.prefix, self.size)
+        order = np.argsort(self.numbers[first], kind="stable")
+        self.held_by = text[first][order]
+        self.held = np.searchsorted(self.numbers[first][order], np.arange(len(times) + 1))
+        self.seen = np.zeros(len(times), bool)
+
+    def alike(self, x: int, others: np.ndarray, linked: Callable[[int], bool]) -> Iterator[int]:
+        """Those of the other texts that are like x, unless they are linked by then."""
+        at = self.start[x]
+        rare = self.numbers[at : at + self.prefix[x]]
+        meets = np.zeros(len(self.size), bool)
+        for lo, hi in zip(self.held[rare].tolist(), self.held[rare + 1].tolist()):
+            if hi > lo + 1:
+                meets[self.held_by[lo:hi]] = True
+        own = self.numbers[at : self.start[x + 1]]
+        self.seen[own] = True
+        for y in others[meets[others]].tolist():
+            if not linked(y):
+                shared = np.count_nonzero(self.seen[self.numbers[self.start[y] : self.start[y + 1]]])
+                if SIMILARITY[1] * shared >= SIMILARITY[0] * (len(own) + self.size[y] - shared):
+                    yield y
+        self.seen[own] = False
+
+
+def _crossed(crowds: DataFrame, nodes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """All pairs (a, b) of different components at a key whose complete fingerprints differ by at most DISTANCE bits; with the
+    texts (doc_id, data), those whose texts are alike, and of each task's no more than join its components. Each text of a key
+    goes into a block of it, and each two blocks to a task."""
     blocks = F.ceil(F.col("n") / BLOCK)
+    if texts is not None:
+        sizes = texts.groupBy(F.col("doc_id").alias("node")).agg(F.sum(F.length("data")).alias("size"))
+        crowds = crowds.join(crowds.join(sizes, "node").groupBy("k").agg(F.sum("size").alias("bytes")), "k")
+        blocks = F.greatest(blocks, F.ceil(F.col("bytes") / BLOCK_BYTES))
     dealt = crowds.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = dealt.select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part").join(nodes.select("node", *_FPS), "node")
+    if texts is not None:
+        rows = rows.join(texts.select(F.col("doc_id").alias("node"), "data"), "node")
 
     def run(table: pa.Table) -> pa.Table:
         k, i, j = (table[c][0].as_py() for c in ("k", "i", "j"))
@@ -184,6 +244,14 @@ def _crossed(crowds: DataFrame, nodes: DataFrame) -> DataFrame:
         value = prints[:, segment // 2] >> np.uint64(32 * (segment % 2)) & np.uint64(0xFFFFFFFF) if segment < 2 * LANES else None
         right = np.flatnonzero(own == j)
         found = [np.zeros((2, 0), np.int64)]
+        shingled = Shingled(table["data"].to_pylist()) if "data" in table.column_names else None
+        above: dict[int, int] = {}
+
+        def root(p: int) -> int:
+            while (q := above.get(p, p)) != p:
+                above[p] = p = above.get(q, q)
+            return p
+
         for left in np.array_split(np.flatnonzero(own == i), max(1, len(right) // 64)):
             apart = sum(np.bitwise_count(prints[left, f][:, None] ^ prints[right, f]).astype(np.int16) for f in range(LANES))
             near = (apart <= DISTANCE) & (part[left][:, None] != part[right])
@@ -193,9 +261,20 @@ def _crossed(crowds: DataFrame, nodes: DataFrame) -> DataFrame:
                 # texts with one value meet at that key, too
                 near &= (value[left][:, None] != value[right]) | (value[right] == (k & 0xFFFFFFFF))
             x, y = np.nonzero(near)
+            if shingled:
+                cuts, joined = np.searchsorted(x, np.arange(len(left) + 1)), []
+                for one, lo, hi in zip(range(len(left)), cuts.tolist(), cuts[1:].tolist()):
+                    mine = part[left[one]]
+                    for other in shingled.alike(left[one], right[y[lo:hi]], lambda o, mine=mine: root(mine) == root(part[o])) if hi > lo else ():
+                        above[root(part[other])] = root(mine)
+                        joined.append((one, other))
+                x, y = np.array(joined, np.int64).reshape(-1, 2).T
+                y = np.searchsorted(right, y)
             found.append(np.stack([np.minimum(node[left[x]], node[right[y]]), np.maximum(node[left[x]], node[right[y]])]))
         return pa.table(dict(zip("ab", map(pa.array, np.concatenate(found, 1)))))
 
+    # small as they are, the blocks take long: they stay in as many tasks as there are partitions
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "i", "j")
     return rows.groupBy("k", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
@@ -214,17 +293,11 @@ def near_texts(docs: DataFrame) -> DataFrame:
     rest = written(_met(members, links), "near-open")
     few, many = rest.where(F.col("n") <= CROWD).select("k", "node", "part"), rest.where(F.col("n") > CROWD)
     other = few.select("k", F.col("node").alias("other"), F.col("part").alias("other_part"))
-    pairs = (
-        few.join(other, "k").where("node < other and part != other_part").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        .union(many.select("node", "part", F.explode("drawn").alias("d")).where("part != d.part").select(F.least("node", "d.node").alias("a"), F.greatest("node", "d.node").alias("b")))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    again = _near(pairs, nodes)
-    links = links.union(_verified(again, docs))
+    pairs = few.join(other, "k").where("node < other and part != other_part").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.union(_verified(_near(pairs, nodes), docs))
     if not many.isEmpty():
-        crowds = members.join(many.select("k").distinct(), "k", "left_semi")
-        links = links.union(_verified(written(_crossed(_met(crowds, links), nodes).join(tried.union(again), ["a", "b"], "left_anti"), "near-crossed"), docs))
+        crowds = written(_compared(_met(members.join(many.select("k").distinct(), "k", "left_semi"), links), nodes), "near-crowds")
+        links = links.union(written(_crossed(crowds, nodes, _texts_of(crowds.select("node"), docs)), "near-crossed"))
     roots = components(links.unionByName(_same_id(own, first)))
     named = own.select("doc_id", "t1", "t2").join(first.select("t1", "t2", "node"), ["t1", "t2"])
     return named.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component_id"))
