@@ -153,11 +153,11 @@ def unit_bigrams(docs: DataFrame, head: np.ndarray) -> DataFrame:
 
 
 def _neighbours(bigrams: DataFrame) -> DataFrame:
-    """unit; o0, n0: units that follow it and how often; o1, n1: units that it follows. A unit's lists are no longer
-    than the bounded number of units."""
+    """unit; o0, n0: units that follow it and how often; o1, n1: units that it follows; odd: if the unit is, by which the
+    table is parted. A unit's lists are no longer than the bounded number of units."""
     both = bigrams.select(F.explode(F.array(F.struct(F.col("a").alias("unit"), F.lit(0).alias("side"), F.col("b").alias("o"), "n"), F.struct(F.col("b").alias("unit"), F.lit(1).alias("side"), F.col("a").alias("o"), "n"))).alias("x")).select("x.*")
     lists = both.groupBy("unit").agg(*[F.collect_list(F.when(F.col("side") == s, F.struct("o", "n"))).alias(f"x{s}") for s in (0, 1)])
-    return lists.select("unit", "x0.o", "x0.n", F.col("x1.o").alias("o1"), F.col("x1.n").alias("n1")).toDF("unit", "o0", "n0", "o1", "n1")
+    return lists.select("unit", "x0.o", "x0.n", F.col("x1.o").alias("o1"), F.col("x1.n").alias("n1")).toDF("unit", "o0", "n0", "o1", "n1").withColumn("odd", F.col("unit") % 2)
 
 
 def _context(units: pa.Array, counts: pa.Array, classes: np.ndarray, k: int) -> np.ndarray:
@@ -172,10 +172,11 @@ def _class_bigrams(near: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
     sent = near.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, total = sent.value, np.zeros((k, k))
+        c, total = sent.value, np.zeros(k * k)
         for b in batches:
-            np.add.at(total, c[b.column(0).to_numpy()], _context(b.column(1), b.column(2), c, k))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total.ravel())], ["at", "n"])
+            own = np.repeat(c[b.column(0).to_numpy()], np.diff(b.column(1).offsets.to_numpy()))
+            total += np.bincount(own * k + c[b.column(1).flatten().to_numpy()], b.column(2).flatten().to_numpy(), k * k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total)], ["at", "n"])
 
     total = np.zeros(k * k)
     for r in near.select("unit", "o0", "n0").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
@@ -195,19 +196,19 @@ def exchange(near: DataFrame, unit_count: np.ndarray, k: int = CLASSES, sweeps:
     for half in range(2 * sweeps):
         pair = _class_bigrams(near, classes, k) + 0.1
         after = np.log(pair / pair.sum(1, keepdims=True))  # [before, class]
-        sent = near.sparkSession.sparkContext.broadcast((classes, after, np.log(np.bincount(classes, unit_count, k) + 0.1), half))
+        sent = near.sparkSession.sparkContext.broadcast((classes, after, np.log(np.bincount(classes, unit_count, k) + 0.1)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c, after, log_class, half = sent.value
+            c, after, log_class = sent.value
             for b in batches:
                 units = b.column(0).to_numpy()
                 right, left = _context(b.column(1), b.column(2), c, k), _context(b.column(3), b.column(4), c, k)
                 gain = right @ after.T + left @ after - left.sum(1, keepdims=True) * log_class
                 gain[:, 0] = -np.inf
-                mine = (units % 2 == half % 2) & (units > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(units[mine]), pa.array(gain[mine].argmax(1).astype(np.int32))], ["unit", "c"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(gain.argmax(1).astype(np.int32))], ["unit", "c"])
 
-        moved = near.mapInArrow(run, "unit int, c int").toArrow()  # a number for each unit, bounded as they are
+        movable = near.where((F.col("odd") == half % 2) & (F.col("unit") > 0)).drop("odd")
+        moved = movable.mapInArrow(run, "unit int, c int").toArrow()  # a number for each unit, bounded as they are
         classes = classes.copy()
         classes[moved["unit"].to_numpy()] = moved["c"].to_numpy()
     return classes
@@ -226,7 +227,7 @@ def fit(training: DataFrame, counts: DataFrame, head_share: float = HEAD, classe
     unit_count = np.zeros(n_units, np.int64)
     per_unit = bigrams.groupBy("b").agg(F.sum("n").alias("n")).toArrow()
     unit_count[per_unit["b"].to_numpy()] = per_unit["n"].to_numpy()
-    near = written(_neighbours(bigrams), "brown-near")
+    near = written(_neighbours(bigrams), "brown-near", "odd")
     of = exchange(near, unit_count, classes, sweeps) if n else np.minimum(np.arange(n_units), 1)
     pair = _class_bigrams(near, of, classes) + 0.01
     kinds = np.ones(n_units, np.int64)  # distinct words of each unit

@@ -35,10 +35,11 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/helixtab/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str, *parted: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, in folders by its last columns where they are named: cuts the lineage, and a
+    lost executor costs no recomputation."""
     path = fresh(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*parted).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
