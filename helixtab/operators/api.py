@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixtab.operators.ops import cigar
+from helixtab.operators.relax import _kept
 from helixtab.operators.shifts import equal_cost_ranges, with_ranges
 from helixtab.operators.stats import alignment_stats, apply_cost_limit
 from helixtab.operators.tables import align_with_switch, call_single_ts, gap_affine_align, gap_affine_cost
@@ -45,7 +46,7 @@ class AlignJob:
 
     def cigar(self, pairs: DataFrame) -> DataFrame:
         """CIGARs, with the ranges in which switches' ends can move at equal cost."""
-        ops = self.alignments(pairs)
+        ops = self.alignments(pairs) if self.no_ts else _kept(self.alignments(pairs))
         return cigar(ops if self.no_ts else with_ranges(ops, equal_cost_ranges(ops, pairs, self.costs)))
 
     def stats(self, pairs: DataFrame) -> DataFrame:
