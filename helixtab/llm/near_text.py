@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixtab.llm.shared import join_small, text_bytes, words, written
@@ -132,6 +132,14 @@ def _entries(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode(F.concat(*[ball(s) for s in range(2 * LANES)], sampled)).alias("k"))
 
 
+def _members(nodes: DataFrame) -> DataFrame:
+    """k, node and leader (the key's smallest text), of keys where texts meet. There are some 150 keys a text, nearly all of
+    them its own, so they are moved once and sorted; an aggregation would keep them all in memory and leave as many."""
+    at = Window.partitionBy("k")
+    met = _entries(nodes).select("k", "node", F.min("node").over(at).alias("leader"), F.max("node").over(at).alias("last"))
+    return met.where("leader != last").select("k", "node", "leader")
+
+
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose complete fingerprints differ by at most DISTANCE bits."""
     side = lambda c: nodes.select(F.col("node").alias(c), *[F.col(f).alias(c + f) for f in _FPS])
@@ -283,9 +291,7 @@ def near_texts(docs: DataFrame) -> DataFrame:
     own = written(_prints(docs), "near-prints")
     first = written(own.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), *[F.first(f).alias(f) for f in _FPS + _SAMPLED]), "near-first")
     nodes = written(first.dropDuplicates(["node"]).select("node", *_FPS, *_SAMPLED), "near-nodes")
-    entries = _entries(nodes)
-    met = entries.groupBy("k").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader != last").select("k", "leader")
-    members = written(entries.join(met, "k"), "near-members")
+    members = written(_members(nodes), "near-members")
 
     tried = _near(members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes)
     links = _verified(tried, docs)
