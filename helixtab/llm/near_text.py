@@ -16,9 +16,9 @@ about the similarity to the power of their number; a single new one flips severa
 
 Groups need no pairs: every text at a key is first compared with the key's smallest text. What that links is one
 component from then on, and only keys where several components meet are looked at again: there all pairs of different
-components are compared. With more than CROWD texts, that is done block by block in tasks that hold the blocks' fingerprints and texts: they
-return no pairs but the links that join components, fewer than they have texts. Their work grows with the square of such a
-crowd, their memory and what they return don't. A task's texts are alike only if the rarest fifth of the shingles of each
+components are compared. Keys of up to CROWD texts become pairs, some for each text; with more, all are compared block by block in
+tasks that hold the blocks' fingerprints and texts: they return no pairs but the links that join components, fewer than they have
+texts. Their work grows with the square of such a crowd, their memory and what they return don't. A task's texts are alike only if the rarest fifth of the shingles of each
 shares one with the other's, so most of a crowd's pairs aren't compared at all.
 
 Nulls: a null text is empty. Rows without an id take no part. Rows that share an id are one document, linked if
@@ -44,7 +44,8 @@ DISTANCE = 56
 LANES = 4
 #: Shingles in each of the sampled segments.
 SAMPLES = (3,) * 4 + (5,) * 8
-CROWD = 64
+#: Texts at a key up to which their pairs are rows.
+CROWD = 8
 #: Texts of a crowd, and their bytes, that a task compares with as many others at once.
 BLOCK, BLOCK_BYTES = 4096, 1 << 24
 _CHUNK = 1 << 15
@@ -252,7 +253,7 @@ def _crossed(crowds: DataFrame, nodes: DataFrame, texts: DataFrame | None = None
         value = prints[:, segment // 2] >> np.uint64(32 * (segment % 2)) & np.uint64(0xFFFFFFFF) if segment < 2 * LANES else None
         right = np.flatnonzero(own == j)
         found = [np.zeros((2, 0), np.int64)]
-        shingled = Shingled(table["data"].to_pylist()) if "data" in table.column_names else None
+        shingled, with_texts = None, "data" in table.column_names
         above: dict[int, int] = {}
 
         def root(p: int) -> int:
@@ -269,7 +270,8 @@ def _crossed(crowds: DataFrame, nodes: DataFrame, texts: DataFrame | None = None
                 # texts with one value meet at that key, too
                 near &= (value[left][:, None] != value[right]) | (value[right] == (k & 0xFFFFFFFF))
             x, y = np.nonzero(near)
-            if shingled:
+            if with_texts and len(x):
+                shingled = shingled or Shingled(table["data"].to_pylist())
                 cuts, joined = np.searchsorted(x, np.arange(len(left) + 1)), []
                 for one, lo, hi in zip(range(len(left)), cuts.tolist(), cuts[1:].tolist()):
                     mine = part[left[one]]
